@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .bpe_codec import op10_byte_bpe
+from .langid import op5_language_id
+from .packing import op9_packing
+from .quality_crf import op3_quality_rules
 from .token_counts import op6_token_counts
 from .token_files import op8_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op8_token_files": op8_token_files,
+        "op9_packing": op9_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL}
