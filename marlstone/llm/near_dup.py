@@ -1,16 +1,18 @@
 """Near duplicates: b-bit MinHash signatures, joined by their Hamming distance, confirmed on full sets.
 
 A document is the set of its word shingles. Equal sets become one class first. A class has a
-signature of `hashes` symbols of 16 bits. Of two sets with similarity s a symbol differs with
-probability 1 - s; at the similarity asked for, more than `distance` of the symbols differ with
-probability below 1e-6. The symbols are cut into chunks, so that of two signatures within the distance
-some chunk has few errors (pigeonhole); for each chunk every choice of that many symbols is left out
-in turn and the rest is a key. So all pairs within the distance meet in a key, without exception.
+signature of `hashes` symbols of 8 bits. Of two sets with similarity s a symbol differs with
+probability (1 - s) * 255 / 256; at the similarity asked for, more than `distance` of the symbols
+differ with probability below 1e-6, and so do more than `index_distance` of the first `indexed` ones.
+Those first ones are cut into chunks, so that of two signatures within index_distance some chunk has
+few errors (pigeonhole); for each chunk every choice of that many symbols is left out in turn and the
+rest is a key. So all pairs within index_distance meet in a key, without exception.
 
 Not all pairs of a key's members are compared: what is asked for are the links' components. First,
 each class is compared with the smallest class of each of its keys, and joined to it if they are
 confirmed. Only where a key's members are in more than one component then, its members are compared
-with those of other components, in blocks. What passes the distance is confirmed on the full sets.
+with those of other components, in blocks; a pair comes from the first key that it shares. What passes
+the distance over all symbols is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -44,28 +46,31 @@ class Rule:
 
     words: int = 5
     percent: int = 80
-    hashes: int = 64
-    distance: int = 30
+    hashes: int = 256
+    distance: int = 86
+    indexed: int = 64
+    index_distance: int = 31
     chunks: int = 16
 
     @property
     def errors(self) -> int:
         """Errors that some chunk is within, if the signatures are within the distance."""
-        return self.distance // self.chunks
+        return self.index_distance // self.chunks
 
     def missed(self) -> float:
-        """The chance that a pair of just the similarity asked for is beyond the distance."""
-        p = 1 - self.percent / 100 + 2.0**-16
-        return sum(comb(self.hashes, k) * p**k * (1 - p) ** (self.hashes - k) for k in range(self.distance + 1, self.hashes + 1))
+        """A bound for the chance that a pair of just the similarity asked for is beyond a distance."""
+        p = (1 - self.percent / 100) * 255 / 256
+        tail = lambda n, d: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(d + 1, n + 1))
+        return tail(self.hashes, self.distance) + tail(self.indexed, self.index_distance)
 
     def keys(self) -> list[tuple[int, ...]]:
         """The symbols of each key."""
-        cuts = [round(i * self.hashes / self.chunks) for i in range(self.chunks + 1)]
+        cuts = [round(i * self.indexed / self.chunks) for i in range(self.chunks + 1)]
         return [kept for a, b in zip(cuts, cuts[1:], strict=False) for kept in combinations(range(a, b), max(1, b - a - self.errors))]
 
 
 #: The rule of the contract's query. Some chunk of 13 has 1 error at most, up to distance 25.
-CONTRACT = Rule(words=3, percent=85, hashes=64, distance=25, chunks=13)
+CONTRACT = Rule(words=3, percent=85, distance=68, index_distance=25, chunks=13)
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -100,13 +105,17 @@ def shingle_sets(texts: pa.Array, words: int):
                 yield h[:0]
 
 
-def signature(s: np.ndarray, hashes: int) -> bytes:
-    """A symbol of 16 bits for each hash function: of the element that it puts first."""
-    salts = mix(np.arange(1, hashes + 1, dtype=np.uint64) * MIX[0])
-    least = np.full(hashes, np.uint64(2**64 - 1))
-    for k in range(0, len(s), 4096):
-        np.minimum(least, ((s[k : k + 4096, None] ^ salts) * MIX[1]).min(axis=0), out=least)
-    return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
+def salts(hashes: int) -> np.ndarray:
+    return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0])
+
+
+def signature(s: np.ndarray, salt: np.ndarray) -> bytes:
+    """A symbol of 8 bits for each hash function: of the element that it puts first. The halves of a
+    64-bit hash are two functions."""
+    least = np.full(2 * len(salt), np.uint32(2**32 - 1))
+    for k in range(0, len(s), 512):
+        np.minimum(least, ((s[k : k + 512, None] ^ salt) * MIX[1]).view(np.uint32).min(axis=0), out=least)
+    return (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,17 +124,29 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
     def run(batches):
         import xxhash
 
+        salt = salts(rule.hashes)
         for batch in batches:
             n, h, sig = [], [], []
             for s in shingle_sets(batch.column(1), rule.words):
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s, rule.hashes) if len(s) else None)
+                sig.append(signature(s, salt) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
 
     return keyed(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
+def key_hashes(sig: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
+    """Hashes of all keys: (keys, signatures)."""
+    out = np.empty((len(kept), len(sig)), np.uint64)
+    for t, places in enumerate(kept):
+        key = np.full(len(sig), np.uint64(t + 1))
+        for p in places:
+            key = mix(key * MIX[0] + sig[:, p])
+        out[t] = key
+    return out
+
+
 def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
     """key, id for every key of every class."""
     kept = [np.array(k) for k in rule.keys()]
@@ -134,12 +155,9 @@ def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, rule.hashes).astype(np.uint64)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, rule.hashes).astype(np.uint64)
                 ids = part.column(0)
-                for t, places in enumerate(kept):
-                    key = np.full(len(sig), np.uint64(t + 1))
-                    for p in places:
-                        key = mix(key * MIX[0] + sig[:, p])
+                for key in key_hashes(sig, kept):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
@@ -151,7 +169,7 @@ def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, rule.hashes) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, rule.hashes) for k in (2, 3))
                 apart = (x != y).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(apart <= rule.distance))
 
@@ -160,14 +178,14 @@ def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, apart long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, salts: int = 64) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, spread: int = 64) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. docs: id, text.
 
     A pair goes to a place by a and a salt from b, with b's text; a's text goes once to each place
     that it has pairs in. So a class with very many pairs is spread, and a task holds one set of a
     class and one more at a time.
     """
-    placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("salt"))
     anchors = placed.select("a", F.lit(None).cast("long").alias("b"), "salt").distinct()
     sides = placed.select("a", "b", "salt", F.col("b").alias("id")).union(anchors.select("a", "b", "salt", F.col("a").alias("id")))
     sent = sides.join(docs, "id").select("a", "salt", "b", "text").repartition(4 * partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -194,7 +212,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, salts: int = 64) -> D
 
 
 def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
-    """Pairs (a, b, apart) within the distance of members of one key but of different components.
+    """Pairs (a, b) within the distance of members of one key but of different components.
 
     members: key, id, component, signature, n (members of the key). A key with more than `block`
     members is dealt into blocks, and every two blocks (and each with itself) meet in a place of
@@ -205,41 +223,53 @@ def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
     dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "id")
+    kept = [np.array(k) for k in rule.keys()]
 
-    def compare(rows: list[tuple]):
-        i, j = rows[0][1], rows[0][2]
+    def compare(rows: list[tuple], out: tuple[list, list]) -> None:
+        key, i, j = rows[0][:3]
         own = np.array([r[3] for r in rows])
         ids = np.array([r[4] for r in rows])
         comp = np.array([r[5] for r in rows])
-        sig = np.frombuffer(b"".join([r[6] for r in rows]), "<u2").reshape(len(rows), -1)
+        if comp.min() == comp.max():
+            return
+        sig = np.frombuffer(b"".join([r[6] for r in rows]), np.uint8).reshape(len(rows), -1)
+        turn = int(np.flatnonzero(key_hashes(sig[:1].astype(np.uint64), kept)[:, 0].view(np.int64) == key)[0])
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
         for x in left.tolist():
-            y = right[(right > x) if i == j else slice(None)]
+            y = right[right > x] if i == j else right
             y = y[comp[y] != comp[x]]
-            apart = (sig[y] != sig[x]).sum(axis=1)
-            near = apart <= rule.distance
-            for other, d in zip(ids[y[near]].tolist(), apart[near].tolist(), strict=True):
-                yield (min(ids[x], other), max(ids[x], other), d)
+            same = sig[y] == sig[x]
+            near = same.sum(axis=1) >= rule.hashes - rule.distance
+            y, same = y[near], same[near]
+            for t in range(turn):
+                if not len(y):
+                    break
+                new = ~same[:, kept[t]].all(axis=1)
+                y, same = y[new], same[new]
+            out[0].extend(np.minimum(ids[x], ids[y]).tolist())
+            out[1].extend(np.maximum(ids[x], ids[y]).tolist())
 
     def run(batches):
-        place, rows = None, []
+        place, rows, out = None, [], ([], [])
         for batch in batches:
-            out = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != place:
                     if len(rows) > 1:
-                        out += compare(rows)
+                        compare(rows, out)
                     place, rows = r[:3], []
                 rows.append(r)
-            yield pair_batch(out)
+                if len(out[0]) > 50_000:
+                    yield pair_batch(out)
+                    out = ([], [])
         if len(rows) > 1:
-            yield pair_batch(list(compare(rows)))
+            compare(rows, out)
+        yield pair_batch(out)
 
     def pair_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "apart"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long, apart long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +296,7 @@ def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_
     found = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     members = found.join(mixed, "key", "left_semi").join(classes.select("id", "signature"), "id")
-    rest = across(members, rule).select("a", "b")
+    rest = stage(across(members, rule), f"{folder}/rest")
     second = stage(confirm(rest, texts, rule), f"{folder}/second")
     label = components(first.union(second), f"{folder}/round-2")
     member = classes.join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
