@@ -45,8 +45,16 @@ def to_uri(path: str) -> str:
     return path if re.match(r"\w+:", path) else "file://" + path
 
 
+#: Rows of a batch that goes to Python: texts are long.
+BATCH_ROWS = 4096
+
+
 def keyed(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """Only the named inputs, under fixed names: extra columns and clashing names go."""
+    """Only the named inputs, under fixed names: extra columns and clashing names go.
+
+    From here on the session sends Python batches of BATCH_ROWS rows at most.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 

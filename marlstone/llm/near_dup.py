@@ -81,7 +81,7 @@ def shingle_sets(texts: pa.Array, words: int):
     """
     import xxhash
 
-    for part in slices(texts):
+    for part in slices(texts, 4 << 20):
         codes, kinds, n = cut(pc.ascii_split_whitespace(pc.ascii_lower(part)))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) if w else 0 for w in kinds), np.uint64, len(kinds))[codes]
         full = np.fromiter((w != "" for w in kinds), bool, len(kinds))[codes]
