@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 
@@ -66,6 +69,8 @@ CONDITIONS: list[tuple[str, type[EngineError]]] = [
 def translate(e: Exception) -> Exception:
     """The engine's error for one of Spark's, or the same error."""
     condition = e.getCondition() if isinstance(e, PySparkException) else None
+    if condition is None and isinstance(e, Py4JJavaError) and (m := re.search(r"\[([A-Z][A-Z_]+(?:\.[A-Z_]+)*)\]", str(e.java_exception))):
+        condition = m[1]
     for start, kind in CONDITIONS:
         if condition and condition.startswith(start):
             return kind(str(e))

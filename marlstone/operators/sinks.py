@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import sys
 import uuid
 from dataclasses import dataclass
@@ -36,8 +34,8 @@ class ParquetOptions:
         return out
 
 
-def _into_file(df: DataFrame, path: str, write) -> None:
-    """A folder's single part file becomes the file `path`."""
+def _into_file(df: DataFrame, path: str, write, head: str = "") -> None:
+    """A folder's single part file becomes the file `path`, after the text `head`."""
     spark = df.sparkSession
     folder = f"{path}.{uuid.uuid4().hex}"
     write(df.coalesce(1), folder)
@@ -45,7 +43,11 @@ def _into_file(df: DataFrame, path: str, write) -> None:
     fs = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = next(s.getPath() for s in fs.listStatus(Path(folder)) if s.getPath().getName().startswith("part-"))
     fs.delete(Path(path), True)
-    if not fs.rename(part, Path(path)):
+    if head:
+        out = fs.create(Path(path))
+        out.write(bytearray(head.encode()))
+        spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(part), out, 1 << 16, True)
+    elif not fs.rename(part, Path(path)):
         raise OSError(f"can't write {path}")
     fs.delete(Path(folder), True)
 
@@ -67,11 +69,8 @@ def csv_text(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, header: bool = False, single: bool = True) -> int:
     """Writes one file (single) or a folder of parts; returns the rows written."""
     lines = csv_text(df)
-    if header:
-        first = df.sparkSession.createDataFrame([(",".join(df.columns),)], "value string")
-        lines = first.coalesce(1).union(lines)
     if single:
-        _into_file(lines, path, lambda d, p: d.write.option("lineSep", "\n").text(p))
+        _into_file(lines, path, lambda d, p: d.write.option("lineSep", "\n").text(p), ",".join(df.columns) + "\n" if header else "")
     else:
         csv_text(df).write.mode("overwrite").text(path)
     return df.count()
@@ -97,10 +96,3 @@ def print_rows(df: DataFrame, out=None, header: bool = False) -> int:
         out.write(r.value + "\n")
         n += 1
     return n
-
-
-def to_csv_string(rows: list[tuple]) -> str:
-    """A few rows as CSV text."""
-    buf = io.StringIO()
-    csv.writer(buf, lineterminator="\n").writerows(rows)
-    return buf.getvalue()
