@@ -27,8 +27,9 @@ SEGMENT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|
 #: Distinct words that a worker remembers (each about 200 bytes), the longest worth it, and the bytes
 #: of text that are worked on at once.
 REMEMBERED, LONGEST, SLICE = 700_000, 64, 12 << 20
-#: The spaces that may lie inside a match.
-INNER_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] (?:[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+#: The same characters for Arrow's patterns, and the spaces that may lie inside a match.
+WHITE_SPACE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+INNER_SPACE = f"[{WHITE_SPACE_RE2}] (?:[{WHITE_SPACE_RE2}]|$)"
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:

@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import json
 import posixpath
-import re
 import struct
 from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, keyed, partitions, stage, to_uri, work_dir
-from .segments import WHITE_SPACE, TextEncoder
+from .segments import WHITE_SPACE_RE2, TextEncoder
 
 MAGIC = b"MWM1"
 BLOCK = 512
@@ -168,58 +170,57 @@ def library_encoder(path: str) -> TextEncoder:
     size = np.zeros(t.get_vocab_size(), np.int64)  # of each token in bytes: one character a byte
     for token, i in t.get_vocab(with_added_tokens=False).items():
         size[i] = len(token)
-    joins = re.compile(f" [^{WHITE_SPACE}]+").fullmatch  # and no special token, as texts with one come alone
+    joins = f"^ [^{WHITE_SPACE_RE2}]+$"  # and no special token, as texts with one come alone
 
     def encode(segments: list[str]) -> list[bytes]:
+        if len(segments) == 1:
+            return [array("I", t.encode(segments[0], add_special_tokens=False).ids).tobytes()]
+        column = pa.array(segments, pa.string())
+        fits = pc.match_substring_regex(column, joins).to_numpy(zero_copy_only=False)
         out: list = [None] * len(segments)
-        easy = [i for i, s in enumerate(segments) if joins(s)] if len(segments) > 1 else []
-        hard = sorted(set(range(len(segments))).difference(easy))
+        hard = np.flatnonzero(~fits).tolist()
         for i, e in zip(hard, t.encode_batch_fast([segments[i] for i in hard], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
-        groups = [easy[i : i + 100] for i in range(0, len(easy), 100)]
-        for at, e in zip(groups, t.encode_batch_fast(["".join([segments[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(segments[i].encode()) for i in at])
+        easy = np.flatnonzero(fits).tolist()
+        if easy:
+            some = [segments[i] for i in easy]
+            joined = t.encode_batch_fast(["".join(some[i : i + 200]) for i in range(0, len(some), 200)], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable([e.ids for e in joined])), "<u4")
+            ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)[fits])
             cuts = (4 * (1 + np.searchsorted(np.cumsum(size[ids]), ends))).tolist()
             data = ids.tobytes()
-            for i, a, b in zip(at, [0, *cuts], cuts, strict=False):
+            for i, a, b in zip(easy, [0, *cuts], cuts, strict=False):
                 out[i] = data[a:b]
         return out
 
     return TextEncoder(encode, special)
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", docs_per_shard: int = 16_384, ids_per_file: int = 1 << 22) -> DataFrame:
+def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", docs_per_shard: int = 8192, ids_per_file: int = 1 << 22) -> DataFrame:
     """Encodes the texts and writes their ids, ascending by doc_id, in files below folder.
 
     Returns the manifest, one row per file: shard, part, path, n_docs, n_ids. In a file name, shard and
-    part are in the order of doc_id, nulls first; equal doc_ids are ordered by their texts. A document
+    part are in the order of doc_id, nulls first; equal doc_ids are ordered by their texts (and are in
+    one task, as doc_ids are taken to be nearly unique). A document
     with a null or empty text has no ids but end_id. One document's ids are never cut: a file has
     ids_per_file at most, but for a document that is longer. An empty table gives no file.
     """
     spark = df.sparkSession
     df = keyed(df, doc_id=doc_id, text=text)
-    n = df.count()
-    shards = max(1, -(-n // docs_per_shard))
-    cuts: list[int] = []
-    if shards > 1:
-        at = [i / shards for i in range(1, shards)]
-        cuts = sorted(set(df.select(F.percentile_approx("doc_id", at, 100_000)).first()[0] or []))
-    # shard k: after cut k - 1, up to cut k
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"cast(array_size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id)) as int)") if cuts else F.lit(0))
-    dealt = df.withColumn("shard", shard).repartition(max(partitions(spark), shards) if n else 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
+    shards = max(partitions(spark), -(-df.count() // docs_per_shard))
+    dealt = df.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     root = to_uri(folder)
 
     def run(batches):
         import os
 
-        from pyarrow import RecordBatch, array
         from pyarrow import fs as pafs
+        from pyspark import TaskContext
 
         encoder = library_encoder(tokenizer)
         end = np.array([] if end_id is None else [end_id], "<u4")
         store, base = pafs.FileSystem.from_uri(root)
-        state = {"shard": None, "part": 0, "docs": [], "lengths": [], "ids": [], "n": 0}
+        state = {"shard": TaskContext.get().partitionId(), "part": 0, "docs": [], "lengths": [], "ids": [], "n": 0}
 
         def flush():
             if not state["docs"]:
@@ -238,24 +239,22 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
         store.create_dir(base, recursive=True)
         rows = []
         for batch in batches:
-            docs, shards_of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            docs = batch.column(0).to_pylist()
             at = 0
             for ids, sizes in encoder.batch(batch.column(1)):
                 ends = np.cumsum(sizes).tolist()
                 for start, stop in zip([0, *ends], ends, strict=False):
-                    d, s, m = docs[at], shards_of[at], stop - start + len(end)
+                    d, m = docs[at], stop - start + len(end)
                     at += 1
-                    if s != state["shard"] or state["n"] + m > ids_per_file:
+                    if state["n"] + m > ids_per_file:
                         rows += flush()
-                        if s != state["shard"]:
-                            state.update(shard=s, part=0)
                     state["docs"].append(d)
                     state["lengths"].append(m)
                     state["ids"] += [ids[start:stop], end]
                     state["n"] += m
         rows += flush()
         if rows:
-            yield RecordBatch.from_arrays([array(list(c)) for c in zip(*rows, strict=True)], names=["shard", "part", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["shard", "part", "path", "n_docs", "n_ids"])
 
     manifest = dealt.mapInArrow(run, "shard long, part long, path string, n_docs long, n_ids long")
     return stage(manifest, f"{folder}-manifest")
@@ -276,8 +275,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     data = spark.read.format("binaryFile").option("pathGlobFilter", "*.mwm").load(folder).select("path", "content")
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 name = posixpath.basename(path)
