@@ -218,7 +218,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
     asked = stage(rows.where(queries).join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), "node"), f"{folder}/asked")
     q = asked.select(F.col("node").alias("q")).distinct()
     if count <= s.beam:  # the beam holds all nodes
-        found = q.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long"))
+        found = q.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     else:
         graph = neighbour_graph(points, count, folder, s)
         # a query begins at its own node, its neighbours, and a few nodes anywhere
