@@ -13,6 +13,7 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +105,17 @@ class ByteBPE:
         return gather(ids, *self.pool).tobytes()
 
 
+@lru_cache(maxsize=1)
+def codec_of(ranks: str, pattern: str) -> ByteBPE:
+    """A worker process's codec: later tasks find the words that earlier ones have met."""
+    return ByteBPE(ranks, pattern)
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of ids (binary, little-endian uint32) of its texts. A null text has no ids."""
 
     def make():
-        codec = ByteBPE(ranks, pattern)
+        codec = codec_of(ranks, pattern)
 
         def step(batch):
             return {ids: [x.tobytes() for x in codec.encode_batch(batch.column(batch.schema.get_field_index(text)))]}
@@ -122,7 +129,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", decoded: s
     """df with a column of the bytes (binary) that its ids stand for; null ids are none."""
 
     def make():
-        codec = ByteBPE(ranks, pattern)
+        codec = codec_of(ranks, pattern)
         return lambda batch: {decoded: [codec.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]}
 
     return extend(df, {decoded: "binary"}, make, [ids])
@@ -135,7 +142,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
     def make():
-        codec = ByteBPE(ranks, pattern)
+        codec = codec_of(ranks, pattern)
 
         def step(batch):
             texts = batch.column(batch.schema.get_field_index("text"))

@@ -12,6 +12,7 @@ import json
 import posixpath
 import struct
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -151,8 +152,9 @@ class TokenFile:
         self.matrix = WaveletMatrix(head["ids"], [np.frombuffer(unpack(p), np.uint8) for p in part[2:]])
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str) -> TextEncoder:
-    """Ids by the tokenizers library as little-endian uint32 bytes, without added special tokens.
+    """One for each worker process, whose later tasks find the words that earlier ones have met. Ids by the tokenizers library as little-endian uint32 bytes, without added special tokens.
 
     Segments that are one space and no other white space are encoded many to a text: each begins at a
     border of the split pattern there too, and the lengths of the tokens show whose they are.
