@@ -1,9 +1,10 @@
 """Near duplicates: b-bit MinHash signatures, joined by their Hamming distance, confirmed on full sets.
 
 A document is the set of its word shingles. Equal sets become one class first. A class has a
-signature of `hashes` symbols of 8 bits. Of two sets with similarity s a symbol differs with
-probability (1 - s) * 255 / 256; at the similarity asked for, more than `distance` of the symbols
-differ with probability below 1e-6, and so do more than `index_distance` of the first `indexed` ones.
+signature of `hashes` symbols, the first `indexed` of 16 bits and the others of 8. Of two sets with
+similarity s a symbol differs with probability 1 - s at most; at the similarity asked for, more than
+`distance` of the symbols differ with probability below 2e-6, and more than `index_distance` of the first
+ones as well.
 Those first ones are cut into chunks, so that of two signatures within index_distance some chunk has
 few errors (pigeonhole); for each chunk every choice of that many symbols is left out in turn and the
 rest is a key. So all pairs within index_distance meet in a key, without exception.
@@ -59,7 +60,7 @@ class Rule:
 
     def missed(self) -> float:
         """A bound for the chance that a pair of just the similarity asked for is beyond a distance."""
-        p = (1 - self.percent / 100) * 255 / 256
+        p = 1 - self.percent / 100
         tail = lambda n, d: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(d + 1, n + 1))
         return tail(self.hashes, self.distance) + tail(self.indexed, self.index_distance)
 
@@ -109,13 +110,21 @@ def salts(hashes: int) -> np.ndarray:
     return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0])
 
 
-def signature(s: np.ndarray, salt: np.ndarray) -> bytes:
-    """A symbol of 8 bits for each hash function: of the element that it puts first. The halves of a
-    64-bit hash are two functions."""
+def signature(s: np.ndarray, salt: np.ndarray, indexed: int) -> bytes:
+    """A symbol for each hash function, of the element that it puts first; the first `indexed` symbols
+    take two bytes. The halves of a 64-bit hash are two functions."""
     least = np.full(2 * len(salt), np.uint32(2**32 - 1))
     for k in range(0, len(s), 512):
         np.minimum(least, ((s[k : k + 512, None] ^ salt) * MIX[1]).view(np.uint32).min(axis=0), out=least)
-    return (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+    symbol = (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(48)).astype("<u2")
+    return symbol[:indexed].tobytes() + symbol[indexed:].astype(np.uint8).tobytes()
+
+
+def symbols(signatures: list[bytes], rule: Rule) -> np.ndarray:
+    """Signatures as rows of symbols."""
+    raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), rule.hashes + rule.indexed)
+    first = np.ascontiguousarray(raw[:, : 2 * rule.indexed]).view("<u2")
+    return np.concatenate([first, raw[:, 2 * rule.indexed :]], axis=1)
 
 
 def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,7 +139,7 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
             for s in shingle_sets(batch.column(1), rule.words):
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s, salt) if len(s) else None)
+                sig.append(signature(s, salt, rule.indexed) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
 
     return keyed(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
@@ -155,7 +164,7 @@ def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, rule.hashes).astype(np.uint64)
+                sig = symbols(part.column(1).to_pylist(), rule).astype(np.uint64)
                 ids = part.column(0)
                 for key in key_hashes(sig, kept):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
@@ -169,7 +178,7 @@ def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, rule.hashes) for k in (2, 3))
+                x, y = (symbols(batch.column(k).to_pylist(), rule) for k in (2, 3))
                 apart = (x != y).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(apart <= rule.distance))
 
@@ -232,7 +241,7 @@ def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
         comp = np.array([r[5] for r in rows])
         if comp.min() == comp.max():
             return
-        sig = np.frombuffer(b"".join([r[6] for r in rows]), np.uint8).reshape(len(rows), -1)
+        sig = symbols([r[6] for r in rows], rule)
         turn = int(np.flatnonzero(key_hashes(sig[:1].astype(np.uint64), kept)[:, 0].view(np.int64) == key)[0])
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)

@@ -87,11 +87,11 @@ def test_blocks_of_a_large_key(spark):
     rule = near_dup.CONTRACT
     salt = near_dup.salts(rule.hashes)
     sets = list(near_dup.shingle_sets(pa.array(family(8, 40, 4)), 3))
-    sig = [near_dup.signature(s, salt) for s in sets]
-    key = int(near_dup.key_hashes(np.frombuffer(sig[0], np.uint8)[None].astype(np.uint64), [np.array(k) for k in rule.keys()])[0, 0].view(np.int64))
-    same = [i for i in range(40) if np.frombuffer(sig[i], np.uint8)[list(rule.keys()[0])].tolist() == np.frombuffer(sig[0], np.uint8)[list(rule.keys()[0])].tolist()]
-    members = spark.createDataFrame([(key, i, i % 3, bytearray(sig[i]), len(same)) for i in same], "key long, id long, component long, signature binary, n long")
-    want = {(a, b) for a, b in combinations(same, 2) if a % 3 != b % 3 and sum(x != y for x, y in zip(sig[a], sig[b], strict=True)) <= rule.distance}
+    sig = near_dup.symbols(raw := [near_dup.signature(s, salt, rule.indexed) for s in sets], rule)
+    key = int(near_dup.key_hashes(sig[:1].astype(np.uint64), [np.array(k) for k in rule.keys()])[0, 0].view(np.int64))
+    same = [i for i in range(40) if (sig[i] == sig[0])[list(rule.keys()[0])].all()]
+    members = spark.createDataFrame([(key, i, i % 3, bytearray(raw[i]), len(same)) for i in same], "key long, id long, component long, signature binary, n long")
+    want = {(a, b) for a, b in combinations(same, 2) if a % 3 != b % 3 and (sig[a] != sig[b]).sum() <= rule.distance}
     for block in (4, 1000):
         assert {tuple(r) for r in near_dup.across(members, rule, block).collect()} == want
 
