@@ -6,7 +6,8 @@ is then exactly a larger inner product. The neighbour graph begins with random n
 round every node's neighbours, and those it is a neighbour of, are brought together in one place with
 their vectors, and each learns of the better ones among the others. After that, each query walks the
 graph: it looks at the neighbours of the best nodes that it hasn't looked at yet, and keeps the best,
-until none of them is new.
+until none of them is new. Distances on the way are of vectors rounded to 16 bits, which halves what
+travels; the scores of what is found are of the original vectors.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Settings:
     degree: int = 32
     sample: int = 18
     rounds: int = 9
-    stop: float = 0.005
+    stop: float = 0.02
     beam: int = 160
     expand: int = 32
     steps: int = 20
@@ -43,7 +44,7 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def augmented(nodes: DataFrame, longest: float) -> DataFrame:
-    """node, x: the vector with its extra coordinate as float32 bytes."""
+    """node, x: the vector with its extra coordinate, divided by the greatest length, as float16 bytes."""
 
     def run(batches):
         for batch in batches:
@@ -51,14 +52,14 @@ def augmented(nodes: DataFrame, longest: float) -> DataFrame:
                 continue
             v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
             rest = np.sqrt(np.maximum(longest - (v * v).sum(axis=1), 0))
-            x = np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
+            x = (np.concatenate([v, rest[:, None]], axis=1) / np.sqrt(longest)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, x binary")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
 
 
 def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
@@ -156,7 +157,7 @@ def _few(salted: DataFrame, s: Settings) -> DataFrame:
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folder: str, s: Settings, entries: DataFrame) -> DataFrame:
-    """q, n, d: the beam of each query. queries: q, y (vector with extra coordinate 0 as float32 bytes);
+    """q, n, d: the beam of each query. queries: q, y (vector with extra coordinate 0 as float16 bytes);
     entries: q, n, the nodes at which a query begins."""
     spark = queries.sparkSession
     out = graph.select(F.col("u").alias("from"), "n").union(graph.select(F.col("n").alias("from"), F.col("u").alias("n"))).distinct()
@@ -242,13 +243,13 @@ def _numbered(groups: DataFrame) -> DataFrame:
 
 
 def _query_vectors(q: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, y: the vectors with extra coordinate 0."""
+    """q, y: the vectors, of length 1, with extra coordinate 0. A query's length doesn't change its order."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
-                y = np.concatenate([v, np.zeros((len(v), 1))], axis=1).astype(np.float32)
+                y = np.concatenate([v / np.sqrt((v * v).sum(axis=1, keepdims=True)), np.zeros((len(v), 1))], axis=1).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in y], pa.binary())], names=["q", "y"])
 
     return nodes.join(q, nodes.node == q.q, "left_semi").select("node", "v").mapInArrow(run, "q long, y binary")
