@@ -1,19 +1,18 @@
 """Near duplicates: b-bit MinHash signatures, joined by their Hamming distance, confirmed on full sets.
 
 A document is the set of its word shingles. Equal sets become one class first. A class has a
-signature of `hashes` symbols, the first `indexed` of 16 bits and the others of 8. Of two sets with
-similarity s a symbol differs with probability 1 - s at most; at the similarity asked for, more than
-`distance` of the symbols differ with probability below 2e-6, and more than `index_distance` of the first
-ones as well.
-Those first ones are cut into chunks, so that of two signatures within index_distance some chunk has
-few errors (pigeonhole); for each chunk every choice of that many symbols is left out in turn and the
-rest is a key. So all pairs within index_distance meet in a key, without exception.
+signature of `indexed` symbols of 16 bits. Of two sets with similarity s a symbol differs with
+probability 1 - s at most; at the similarity asked for, more than `distance` of the symbols differ with
+probability below 1e-6. The symbols are cut into chunks, so that of two signatures within the distance
+some chunk has few errors (pigeonhole); for each chunk every choice of that many symbols is left out in
+turn and the rest is a key. So all pairs within the distance meet in a key, without exception.
 
 Not all pairs of a key's members are compared: what is asked for are the links' components. First,
 each class is compared with the smallest class of each of its keys, and joined to it if they are
-confirmed. Only where a key's members are in more than one component then, its members are compared
-with those of other components, in blocks; a pair comes from the first key that it shares. What passes
-the distance over all symbols is confirmed on the full sets.
+confirmed. Only where a key's members are in more than one component then, they get a second signature
+of `fine` symbols of 8 bits, and are compared with those of other components, in blocks; a pair comes
+from the first key that it shares. What is within the distance by both signatures is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
@@ -47,22 +46,22 @@ class Rule:
 
     words: int = 5
     percent: int = 80
-    hashes: int = 256
-    distance: int = 86
     indexed: int = 64
-    index_distance: int = 31
+    distance: int = 31
     chunks: int = 16
+    fine: int = 768
+    fine_distance: int = 208
 
     @property
     def errors(self) -> int:
         """Errors that some chunk is within, if the signatures are within the distance."""
-        return self.index_distance // self.chunks
+        return self.distance // self.chunks
 
     def missed(self) -> float:
         """A bound for the chance that a pair of just the similarity asked for is beyond a distance."""
         p = 1 - self.percent / 100
         tail = lambda n, d: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(d + 1, n + 1))
-        return tail(self.hashes, self.distance) + tail(self.indexed, self.index_distance)
+        return tail(self.indexed, self.distance) + tail(self.fine, self.fine_distance)
 
     def keys(self) -> list[tuple[int, ...]]:
         """The symbols of each key."""
@@ -71,7 +70,7 @@ class Rule:
 
 
 #: The rule of the contract's query. Some chunk of 13 has 1 error at most, up to distance 25.
-CONTRACT = Rule(words=3, percent=85, distance=68, index_distance=25, chunks=13)
+CONTRACT = Rule(words=3, percent=85, distance=25, chunks=13, fine_distance=164)
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -106,25 +105,25 @@ def shingle_sets(texts: pa.Array, words: int):
                 yield h[:0]
 
 
-def salts(hashes: int) -> np.ndarray:
-    return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0])
+def salts(hashes: int, family: int = 0) -> np.ndarray:
+    return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0] + np.uint64(family << 32))
 
 
-def signature(s: np.ndarray, salt: np.ndarray, indexed: int) -> bytes:
-    """A symbol for each hash function, of the element that it puts first; the first `indexed` symbols
-    take two bytes. The halves of a 64-bit hash are two functions."""
+def signature(s: np.ndarray, salt: np.ndarray, kind: str) -> bytes:
+    """A symbol for each hash function, of the element that it puts first. The halves of a 64-bit hash
+    are two functions."""
     least = np.full(2 * len(salt), np.uint32(2**32 - 1))
     for k in range(0, len(s), 512):
         np.minimum(least, ((s[k : k + 512, None] ^ salt) * MIX[1]).view(np.uint32).min(axis=0), out=least)
-    symbol = (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(48)).astype("<u2")
-    return symbol[:indexed].tobytes() + symbol[indexed:].astype(np.uint8).tobytes()
+    return (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(48)).astype(kind).tobytes()
 
 
-def symbols(signatures: list[bytes], rule: Rule) -> np.ndarray:
+INDEX, FINE = "<u2", "u1"
+
+
+def symbols(signatures: list[bytes], kind: str) -> np.ndarray:
     """Signatures as rows of symbols."""
-    raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), rule.hashes + rule.indexed)
-    first = np.ascontiguousarray(raw[:, : 2 * rule.indexed]).view("<u2")
-    return np.concatenate([first, raw[:, 2 * rule.indexed :]], axis=1)
+    return np.frombuffer(b"".join(signatures), kind).reshape(len(signatures), -1)
 
 
 def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,13 +132,13 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
     def run(batches):
         import xxhash
 
-        salt = salts(rule.hashes)
+        salt = salts(rule.indexed)
         for batch in batches:
             n, h, sig = [], [], []
             for s in shingle_sets(batch.column(1), rule.words):
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s, salt, rule.indexed) if len(s) else None)
+                sig.append(signature(s, salt, INDEX) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
 
     return keyed(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
@@ -164,7 +163,7 @@ def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = symbols(part.column(1).to_pylist(), rule).astype(np.uint64)
+                sig = symbols(part.column(1).to_pylist(), INDEX).astype(np.uint64)
                 ids = part.column(0)
                 for key in key_hashes(sig, kept):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
@@ -178,7 +177,7 @@ def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (symbols(batch.column(k).to_pylist(), rule) for k in (2, 3))
+                x, y = (symbols(batch.column(k).to_pylist(), INDEX) for k in (2, 3))
                 apart = (x != y).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(apart <= rule.distance))
 
@@ -220,17 +219,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, spread: int = 64) ->
     return sent.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
+def fine_signatures(texts: DataFrame, rule: Rule) -> DataFrame:
+    """id, fine of id, text."""
+
+    def run(batches):
+        salt = salts(rule.fine, 1)
+        for batch in batches:
+            fine = [signature(s, salt, FINE) for s in shingle_sets(batch.column(1), rule.words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["id", "fine"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, fine binary")
+
+
+def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     """Pairs (a, b) within the distance of members of one key but of different components.
 
-    members: key, id, component, signature, n (members of the key). A key with more than `block`
+    members: key, id, component, signature, fine, n (members of the key). A key with more than `block`
     members is dealt into blocks, and every two blocks (and each with itself) meet in a place of
     their own, with 2 * block rows or a few more.
     """
     blocks = F.ceil(F.col("n") / block).cast("long")
     own = F.pmod(F.xxhash64("id"), blocks)
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature", "fine")
     dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "id")
     kept = [np.array(k) for k in rule.keys()]
 
@@ -241,7 +252,7 @@ def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
         comp = np.array([r[5] for r in rows])
         if comp.min() == comp.max():
             return
-        sig = symbols([r[6] for r in rows], rule)
+        sig, fine = symbols([r[6] for r in rows], INDEX), symbols([r[7] for r in rows], FINE)
         turn = int(np.flatnonzero(key_hashes(sig[:1].astype(np.uint64), kept)[:, 0].view(np.int64) == key)[0])
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
@@ -249,7 +260,9 @@ def across(members: DataFrame, rule: Rule, block: int = 256) -> DataFrame:
             y = right[right > x] if i == j else right
             y = y[comp[y] != comp[x]]
             same = sig[y] == sig[x]
-            near = same.sum(axis=1) >= rule.hashes - rule.distance
+            near = same.sum(axis=1) >= rule.indexed - rule.distance
+            y, same = y[near], same[near]
+            near = (fine[y] != fine[x]).sum(axis=1) <= rule.fine_distance
             y, same = y[near], same[near]
             for t in range(turn):
                 if not len(y):
@@ -304,7 +317,9 @@ def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_
     label = components(first, f"{folder}/round-1")
     found = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = found.join(mixed, "key", "left_semi").join(classes.select("id", "signature"), "id")
+    members = stage(found.join(mixed, "key", "left_semi").select("key", "id", "component", "n"), f"{folder}/members")
+    fine = stage(fine_signatures(texts.join(members.select("id").distinct(), "id", "left_semi"), rule), f"{folder}/fine")
+    members = members.join(classes.select("id", "signature"), "id").join(fine, "id")
     rest = stage(across(members, rule), f"{folder}/rest")
     second = stage(confirm(rest, texts, rule), f"{folder}/second")
     label = components(first.union(second), f"{folder}/round-2")

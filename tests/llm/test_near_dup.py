@@ -59,9 +59,9 @@ def test_all_signatures_within_the_distance_meet():
     kept = [np.array(k) for k in rule.keys()]
     assert rule.missed() < 2e-6 and near_dup.Rule().missed() < 2e-6
     for _ in range(300):
-        a = rng.integers(0, 256, rule.hashes)
+        a = rng.integers(0, 256, rule.indexed)
         b = a.copy()
-        b[rng.choice(rule.indexed, rule.index_distance, replace=False)] += 1
+        b[rng.choice(rule.indexed, rule.distance, replace=False)] += 1
         assert (near_dup.key_hashes(a[None].astype(np.uint64), kept) == near_dup.key_hashes(b[None].astype(np.uint64), kept)).any()
 
 
@@ -85,13 +85,14 @@ def test_dropping(spark):
 def test_blocks_of_a_large_key(spark):
     """Pairs across components come out whole, whatever the block size."""
     rule = near_dup.CONTRACT
-    salt = near_dup.salts(rule.hashes)
+    salt, salt2 = near_dup.salts(rule.indexed), near_dup.salts(rule.fine, 1)
     sets = list(near_dup.shingle_sets(pa.array(family(8, 40, 4)), 3))
-    sig = near_dup.symbols(raw := [near_dup.signature(s, salt, rule.indexed) for s in sets], rule)
+    sig = near_dup.symbols(raw := [near_dup.signature(s, salt, near_dup.INDEX) for s in sets], near_dup.INDEX)
+    fine = near_dup.symbols(raw2 := [near_dup.signature(s, salt2, near_dup.FINE) for s in sets], near_dup.FINE)
     key = int(near_dup.key_hashes(sig[:1].astype(np.uint64), [np.array(k) for k in rule.keys()])[0, 0].view(np.int64))
     same = [i for i in range(40) if (sig[i] == sig[0])[list(rule.keys()[0])].all()]
-    members = spark.createDataFrame([(key, i, i % 3, bytearray(raw[i]), len(same)) for i in same], "key long, id long, component long, signature binary, n long")
-    want = {(a, b) for a, b in combinations(same, 2) if a % 3 != b % 3 and (sig[a] != sig[b]).sum() <= rule.distance}
+    members = spark.createDataFrame([(key, i, i % 3, bytearray(raw[i]), bytearray(raw2[i]), len(same)) for i in same], "key long, id long, component long, signature binary, fine binary, n long")
+    want = {(a, b) for a, b in combinations(same, 2) if a % 3 != b % 3 and (sig[a] != sig[b]).sum() <= rule.distance and (fine[a] != fine[b]).sum() <= rule.fine_distance}
     for block in (4, 1000):
         assert {tuple(r) for r in near_dup.across(members, rule, block).collect()} == want
 
