@@ -244,49 +244,70 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature", "fine")
     dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "id")
     kept = [np.array(k) for k in rule.keys()]
-
-    def compare(rows: list[tuple], out: tuple[list, list]) -> None:
-        key, i, j = rows[0][:3]
-        own = np.array([r[3] for r in rows])
-        ids = np.array([r[4] for r in rows])
-        comp = np.array([r[5] for r in rows])
-        if comp.min() == comp.max():
-            return
-        sig, fine = symbols([r[6] for r in rows], INDEX), symbols([r[7] for r in rows], FINE)
-        turn = int(np.flatnonzero(key_hashes(sig[:1].astype(np.uint64), kept)[:, 0].view(np.int64) == key)[0])
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        for x in left.tolist():
-            y = right[right > x] if i == j else right
-            y = y[comp[y] != comp[x]]
-            same = sig[y] == sig[x]
-            near = same.sum(axis=1) >= rule.indexed - rule.distance
-            y, same = y[near], same[near]
-            near = (fine[y] != fine[x]).sum(axis=1) <= rule.fine_distance
-            y, same = y[near], same[near]
-            for t in range(turn):
-                if not len(y):
-                    break
-                new = ~same[:, kept[t]].all(axis=1)
-                y, same = y[new], same[new]
-            out[0].extend(np.minimum(ids[x], ids[y]).tolist())
-            out[1].extend(np.maximum(ids[x], ids[y]).tolist())
+    longest = max(map(len, kept))
+    places = np.array([[*k, *[k[-1]] * (longest - len(k))] for k in rule.keys()])
+
+    def settle(part: pa.RecordBatch) -> tuple[list, list]:
+        """The pairs of whole places."""
+        key, i, j, own, ids, comp = (part.column(k).to_numpy() for k in range(6))
+        sig, fine = symbols(part.column(6).to_pylist(), INDEX), symbols(part.column(7).to_pylist(), FINE)
+        change = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
+        turns = (key_hashes(sig[cuts[:-1]].astype(np.uint64), kept).view(np.int64) == key[cuts[:-1]]).argmax(axis=0)
+        out: tuple[list, list] = ([], [])
+        xs, ys, ts, waiting = [], [], [], 0
+
+        def judge() -> None:
+            nonlocal xs, ys, ts, waiting
+            if not xs:
+                return
+            x, y, turn = np.concatenate(xs), np.concatenate(ys), np.concatenate(ts)
+            xs, ys, ts, waiting = [], [], [], 0
+            for k in range(0, len(x), 8192):
+                p, q, t = x[k : k + 8192], y[k : k + 8192], turn[k : k + 8192]
+                same = sig[p] == sig[q]
+                ok = same.sum(axis=1) >= rule.indexed - rule.distance
+                p, q, t, same = p[ok], q[ok], t[ok], same[ok]
+                ok = same[:, places].all(axis=2).argmax(axis=1) == t  # the first key that they share
+                p, q = p[ok], q[ok]
+                ok = (fine[p] != fine[q]).sum(axis=1) <= rule.fine_distance
+                p, q = ids[p[ok]], ids[q[ok]]
+                out[0].extend(np.minimum(p, q).tolist())
+                out[1].extend(np.maximum(p, q).tolist())
+
+        for turn, a, b in zip(turns.tolist(), cuts, cuts[1:], strict=False):
+            if b - a < 2 or (comp[a:b] == comp[a]).all():
+                continue
+            left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(own[a:b] == i[a])
+            right = left if i[a] == j[a] else a + np.flatnonzero(own[a:b] == j[a])
+            for k in range(0, len(left), 128):
+                x, y = (m.ravel() for m in np.meshgrid(left[k : k + 128], right, indexing="ij"))
+                ok = comp[x] != comp[y]
+                if i[a] == j[a]:
+                    ok &= x < y
+                xs.append(x[ok])
+                ys.append(y[ok])
+                ts.append(np.full(len(xs[-1]), turn))
+                waiting += len(xs[-1])
+                if waiting > 50_000:
+                    judge()
+        judge()
+        return out
 
     def run(batches):
-        place, rows, out = None, [], ([], [])
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != place:
-                    if len(rows) > 1:
-                        compare(rows, out)
-                    place, rows = r[:3], []
-                rows.append(r)
-                if len(out[0]) > 50_000:
-                    yield pair_batch(out)
-                    out = ([], [])
-        if len(rows) > 1:
-            compare(rows, out)
-        yield pair_batch(out)
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            key, i, j = (whole.column(k).to_numpy() for k in range(3))
+            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last place may go on
+            if cut:
+                yield pair_batch(settle(whole.slice(0, cut)))
+            held = [whole.slice(cut)]
+        if held:
+            yield pair_batch(settle(held[0]))
 
     def pair_batch(out):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
