@@ -161,8 +161,9 @@ def fold(doc_id: Column) -> Column:
 def train_on(docs: DataFrame, docs_per_language: int = 300, words_per_language: int = 25_000) -> Model | None:
     """Fits the network to documents outside fold 0 with a language and a text.
 
-    Of each language about docs_per_language documents (chosen by a hash of doc_id) and words_per_language
-    of their words at most are used. None if there is no such document.
+    Of each language about docs_per_language documents (chosen by a hash of doc_id; three times as many
+    for each language at the very most) and words_per_language of their words at most are used. None if
+    there is no such document.
     """
     known = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
     per = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -170,7 +171,8 @@ def train_on(docs: DataFrame, docs_per_language: int = 300, words_per_language:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, docs_per_language / n))) for name, n in sorted(per.items())])
     place = (F.xxhash64("doc_id", F.lit(7)) / float(1 << 64)) + 0.5
-    sample = known.where(place < share).select("lang", "doc_id", F.col("text"))
+    # the limit only matters where many rows share a doc_id, and so a hash
+    sample = known.where(place < share).select("lang", "doc_id", "text").limit(3 * docs_per_language * len(per))
     texts: dict[str, list[tuple]] = {}
     for r in sample.toLocalIterator():
         texts.setdefault(r.lang, []).append((r.doc_id, r.text))
