@@ -27,6 +27,8 @@ from .segments import WHITE_SPACE_RE2, TextEncoder
 
 MAGIC = b"MWM1"
 BLOCK = 512
+#: Ids that are sorted at a time: they stay in a processor's cache.
+STEP = 1 << 15
 
 
 class WaveletMatrix:
@@ -47,7 +49,15 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             b = (ids & ids.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(b, bitorder="little"))
-            ids = np.concatenate([ids.take(np.flatnonzero(~b)), ids.take(np.flatnonzero(b))])
+            zero, one = 0, len(ids) - int(np.count_nonzero(b))
+            out = np.empty_like(ids)
+            for i in range(0, len(ids), STEP):
+                x, bit = ids[i : i + STEP], b[i : i + STEP]
+                for at, n in ((zero, np.flatnonzero(~bit)), (one, np.flatnonzero(bit))):
+                    x.take(n, out=out[at : at + len(n)], mode="clip")
+                ones = len(n)
+                zero, one = zero + len(x) - ones, one + ones
+            ids = out
         return cls(len(ids), planes)
 
     def _blocks(self, k: int) -> np.ndarray:
@@ -116,10 +126,14 @@ class WaveletMatrix:
         """All ids, by undoing the sorts from the last plane up."""
         out = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for k in range(self.bits - 1, -1, -1):
-            b = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
-            up, z = np.empty_like(out), self.zeros[k]
-            up[np.flatnonzero(~b)] = out[:z]
-            up[np.flatnonzero(b)] = out[z:] | out.dtype.type(1 << (self.bits - 1 - k))
+            up, bit = np.empty_like(out), out.dtype.type(1 << (self.bits - 1 - k))
+            zero, one = 0, self.zeros[k]
+            for i in range(0, self.n, STEP):
+                b = np.unpackbits(self.planes[k][i // 8 : (i + STEP) // 8], count=min(STEP, self.n - i), bitorder="little").view(bool)
+                ones, zeros, part = np.flatnonzero(b), np.flatnonzero(~b), up[i : i + STEP]
+                part[zeros] = out[zero : zero + len(zeros)]
+                part[ones] = out[one : one + len(ones)] | bit
+                zero, one = zero + len(zeros), one + len(ones)
             out = up
         return out.astype(np.uint32)
 
