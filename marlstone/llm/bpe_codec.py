@@ -13,13 +13,12 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, extend, keyed
+from .common import documents, extend, held, keyed
 from .segments import WHITE_SPACE, TextEncoder, gather
 
 #: Characters of the 256 bytes: a block of letters-like symbols without white space or combining marks.
@@ -83,7 +82,7 @@ class ByteBPE:
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
         self.chars = [chr(FIRST_CHAR + b) for b in range(256)]
         self.table = {b: FIRST_CHAR + b for b in range(256)}
-        self.texts = TextEncoder(self._segments)
+        self.texts = TextEncoder(self._segments, remembered=900_000)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.pool = (np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.tokens), np.uint8))
 
@@ -105,10 +104,9 @@ class ByteBPE:
         return gather(ids, *self.pool).tobytes()
 
 
-@lru_cache(maxsize=1)
 def codec_of(ranks: str, pattern: str) -> ByteBPE:
     """A worker process's codec: later tasks find the words that earlier ones have met."""
-    return ByteBPE(ranks, pattern)
+    return held(("ranks", ranks, pattern), lambda: ByteBPE(ranks, pattern))
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

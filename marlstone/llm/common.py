@@ -99,6 +99,26 @@ def extend(
     return df.mapInArrow(run, schema)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps between its tasks, such as the words it has met: one thing at a time.
+
+    Another key's thing goes, so that a process that runs several operators in turn doesn't hold what
+    all of them have gathered.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what the process keeps; operators that keep nothing call it as they begin."""
+    _held.clear()
+
+
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
     "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
@@ -114,4 +134,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "keyed", "partitions", "stage", "to_uri", "work_dir"]
+__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "held", "keyed", "partitions", "release", "stage", "to_uri", "work_dir"]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extend, keyed
+from .common import documents, extend, keyed, release
 from .segments import Memo, cut, slices
 
 UNKNOWN = "und"
@@ -195,13 +195,14 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
     """
 
     def make():
-        memo = Memo(lambda ws: [row.tobytes() for row in model.words(ws).astype(np.float32)]) if model else None
+        release()
+        memo = Memo(lambda ws: [row.tobytes() for row in model.words(ws).astype(np.float32)], 400_000) if model else None
 
         def step(batch):
             column = batch.column(batch.schema.get_field_index(text))
             pred: list[str] = []
             scores: list[float] = []
-            for part in slices(column):
+            for part in slices(column, 6 << 20):
                 lettered = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
                 if memo is None:
                     pred += [UNKNOWN] * len(part)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, documents, extend, keyed, partitions, stage, to_uri, work_dir
+from .common import delete, documents, extend, keyed, partitions, release, stage, to_uri, work_dir
 from .segments import cut, slices
 
 LEVELS, SPACING = 48, 2
@@ -181,6 +181,7 @@ def index_lines(df: DataFrame, folder: str, text: str = "text", min_chars: int =
     spark = df.sparkSession
 
     def count(batches):
+        release()
         for batch in batches:
             for texts in slices(batch.column(0)):
                 _, codes, hashes, long_, per_text = lines_of(texts, min_chars)
@@ -249,6 +250,7 @@ def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", min_docs: in
     added = {"n_lines": "long", "n_dropped": "long", (digest or text): "string"}
 
     def make():
+        release()
         shards = Shards(index) if flags is None else None
 
         def step(batch):

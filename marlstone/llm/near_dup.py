@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, partitions, stage, work_dir
+from .common import documents, keyed, partitions, release, stage, work_dir
 from .components import components
 from .segments import cut, slices
 
@@ -132,6 +132,7 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
     def run(batches):
         import xxhash
 
+        release()
         salt = salts(rule.indexed)
         for batch in batches:
             n, h, sig = [], [], []
@@ -199,6 +200,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, spread: int = 64) ->
     sent = sides.join(docs, "id").select("a", "salt", "b", "text").repartition(4 * partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches):
+        release()
         anchor = own = None
         for batch in batches:
             out: tuple[list, list] = ([], [])

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, keyed, partitions, stage, work_dir
-from .token_files import library_encoder
+from .segments import REMEMBERED
+from .token_files import worker_encoder
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 1 << 12
 
@@ -92,7 +93,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, doc
     docs = keyed(df, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
 
     def encode(batches):
-        encoder = library_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, REMEMBERED)
         for batch in batches:
             at = 0
             for ids, sizes in encoder.batch(batch.column(1)):

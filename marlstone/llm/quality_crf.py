@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extend, keyed
+from .common import documents, extend, keyed, release
 from .segments import slices
 
 CONTENT, BOILER = 0, 1
@@ -258,9 +258,11 @@ def judge(df: DataFrame, field: Field, text: str = "text", min_share: float = 0.
     added = {**dict.fromkeys(BASE, "long"), "base_failed": "boolean", "content_share": "double", "kept": "boolean"}
 
     def make():
+        release()
+
         def step(batch):
             out = {k: [] for k in added}
-            for part in slices(batch.column(batch.schema.get_field_index(text))):
+            for part in slices(batch.column(batch.schema.get_field_index(text)), 4 << 20):
                 m = measure(part)
                 labels = field.viterbi(m.features, m.per_text)
                 first = np.cumsum(m.per_text) - m.per_text

@@ -26,7 +26,7 @@ SEGMENT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|
 
 #: Distinct words that a worker remembers (each about 200 bytes), the longest worth it, and the bytes
 #: of text that are worked on at once.
-REMEMBERED, LONGEST, SLICE = 1_100_000, 64, 12 << 20
+REMEMBERED, LONGEST, SLICE = 600_000, 64, 12 << 20
 #: The same characters for Arrow's patterns, and the spaces that may lie inside a match.
 WHITE_SPACE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 INNER_SPACE = f"[{WHITE_SPACE_RE2}] (?:[{WHITE_SPACE_RE2}]|$)"
@@ -85,8 +85,8 @@ class TextEncoder:
     `whole(text)`, if there is one, tells of texts that only `encode` on all the text gets right.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: list[str] = ()):
-        self.encode, self.special, self.memo = encode, list(special), Memo(self._find)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: list[str] = (), remembered: int = REMEMBERED):
+        self.encode, self.special, self.memo = encode, list(special), Memo(self._find, remembered)
         self.ends = dict(zip(",.", encode([",", "."]), strict=True))
 
     def _find(self, keys: list[str]) -> list[bytes]:

@@ -16,14 +16,12 @@ maps compose associatively; the count of a long text is a prefix scan over its c
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, extend, keyed
+from .common import documents, extend, held, keyed
 from .segments import cut, slices
 
 SPACE = "▁"
@@ -221,10 +219,9 @@ def read_pieces(model: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.vocab_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
 
 
-@lru_cache(maxsize=1)
 def machine_of(model: str) -> CountTransducer:
     """A worker process's transducer: later tasks find the states that earlier ones have made."""
-    return CountTransducer(read_pieces(model))
+    return held(("counts", model), lambda: CountTransducer(read_pieces(model)))
 
 
 def count_tokens(df: DataFrame, model: str, text: str = "text", limit: int = 4096) -> DataFrame:

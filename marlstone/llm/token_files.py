@@ -12,7 +12,6 @@ import json
 import posixpath
 import struct
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,8 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, partitions, stage, to_uri, work_dir
-from .segments import WHITE_SPACE_RE2, TextEncoder
+from .common import documents, held, keyed, partitions, stage, to_uri, work_dir
+from .segments import REMEMBERED, WHITE_SPACE_RE2, TextEncoder
 
 MAGIC = b"MWM1"
 BLOCK = 512
@@ -166,9 +165,13 @@ class TokenFile:
         self.matrix = WaveletMatrix(head["ids"], [np.frombuffer(unpack(p), np.uint8) for p in part[2:]])
 
 
-@lru_cache(maxsize=1)
-def library_encoder(path: str) -> TextEncoder:
-    """One for each worker process, whose later tasks find the words that earlier ones have met. Ids by the tokenizers library as little-endian uint32 bytes, without added special tokens.
+def worker_encoder(path: str, remembered: int) -> TextEncoder:
+    """A worker process's encoder: later tasks find the words that earlier ones have met."""
+    return held(("library", path, remembered), lambda: library_encoder(path, remembered))
+
+
+def library_encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
+    """Ids by the tokenizers library as little-endian uint32 bytes, without added special tokens.
 
     Segments that are one space and no other white space are encoded many to a text: each begins at a
     border of the split pattern there too, and the lengths of the tokens show whose they are.
@@ -209,7 +212,7 @@ def library_encoder(path: str) -> TextEncoder:
                 out[i] = data[a:b]
         return out
 
-    return TextEncoder(encode, special)
+    return TextEncoder(encode, special, remembered)
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", docs_per_shard: int = 8192, ids_per_file: int = 1 << 22) -> DataFrame:
@@ -233,7 +236,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
         from pyarrow import fs as pafs
         from pyspark import TaskContext
 
-        encoder = library_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, 1_100_000)
         end = np.array([] if end_id is None else [end_id], "<u4")
         store, base = pafs.FileSystem.from_uri(root)
         state = {"shard": TaskContext.get().partitionId(), "part": 0, "docs": [], "lengths": [], "ids": [], "n": 0}
