@@ -12,7 +12,9 @@ travels; the scores of what is found are of the original vectors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,19 @@ from .common import delete, keyed, partitions, stage, work_dir
 @dataclass(frozen=True)
 class Settings:
     """degree: neighbours of a node; sample: neighbours of a node that meet in a round, each way;
+    stop: rounds end when fewer than this share of the links are new;
     beam: nodes that a query keeps; expand: nodes that it looks at in a step."""
 
     degree: int = 32
     sample: int = 18
-    rounds: int = 9
     stop: float = 0.02
     beam: int = 160
     expand: int = 32
-    steps: int = 20
+
+    def among(self, count: int) -> Settings:
+        """From 10,000 nodes on, a query keeps more of them, as the square root of their count."""
+        beam = max(self.beam, math.ceil(1.6 * math.sqrt(count)))
+        return replace(self, beam=beam, expand=max(self.expand, beam // 5))
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -129,7 +135,8 @@ def neighbour_graph(points: DataFrame, count: int, folder: str, s: Settings) ->
     # as random neighbours begin, any distance is an improvement
     begin = ids.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)))).select("u", F.pmod(F.col("u") + 1 + F.pmod(F.xxhash64("u", "i"), F.lit(count - 1)), F.lit(count)).alias("n")).where("u <> n").distinct()
     graph = stage(begin.select("u", "n", F.lit(1e30).alias("d"), F.lit(True).alias("new")), f"{folder}/graph-0")
-    for r in range(1, s.rounds + 1):
+    # ends by itself: a link comes only in place of a longer one
+    for r in count_from(1):
         far = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(1e30)).alias("far"))
         # what meets at a place: some of its neighbours and of those it is a neighbour of, new ones first
         both = graph.select(F.col("u").alias("place"), "n", "new", F.lit(0).alias("way")).union(graph.select(F.col("n").alias("place"), F.col("u").alias("n"), "new", F.lit(1).alias("way")))
@@ -145,8 +152,7 @@ def neighbour_graph(points: DataFrame, count: int, folder: str, s: Settings) ->
         graph = stage(ranked, f"{folder}/graph-{r}")
         delete(spark, f"{folder}/graph-{r - 1}")
         if graph.where("new").count() < s.stop * k * count:
-            break
-    return graph
+            return graph
 
 
 def _few(salted: DataFrame, s: Settings) -> DataFrame:
@@ -175,7 +181,8 @@ def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folde
     w = Window.partitionBy("q").orderBy("d", "n")
     rank = F.row_number().over(w)
     beam = stage(measured(entries.distinct()).select("q", "n", "d", F.lit(False).alias("seen")).withColumn("rank", rank).where(F.col("rank") <= s.beam).drop("rank"), f"{folder}/beam-0")
-    for k in range(1, s.steps + 1):
+    # ends by itself: what leaves the beam doesn't come back
+    for k in count_from(1):
         front = beam.where("NOT seen").withColumn("rank", rank).where(F.col("rank") <= s.expand).select("q", F.col("n").alias("from"))
         looked = front.select("q", F.col("from").alias("n"), F.lit(True).alias("now"))
         near = front.join(out, "from").select("q", "n").distinct().join(beam.select("q", "n"), ["q", "n"], "left_anti")
@@ -185,8 +192,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folde
         delete(spark, f"{folder}/beam-{k - 1}")
         beam = nxt
         if not beam.where("NOT seen").limit(1).count():
-            break
-    return beam.select("q", "n", "d")
+            return beam.select("q", "n", "d")
 
 
 def _capped(links: DataFrame, most: int) -> DataFrame:
@@ -226,7 +232,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
         anywhere = q.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("q", F.pmod(F.xxhash64("q", "i"), F.lit(count)).alias("n"))
         own = graph.join(q, graph.u == q.q, "left_semi").select(F.col("u").alias("q"), "n")
         entries = own.union(q.select("q", F.col("q").alias("n"))).union(anywhere)
-        found = greedy_search(_query_vectors(q, nodes), graph, points, folder, s, entries).select("q", "n")
+        found = greedy_search(_query_vectors(q, nodes), graph, points, folder, s.among(count), entries).select("q", "n")
     return _exact(asked, found, rows, nodes, k)
 
 

@@ -56,3 +56,15 @@ def test_scores_are_exact(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     for r in ann.search(df, F.col("vec_id") == 4, k=5).collect():
         assert r.score == pytest.approx(float(x[4] @ x[r.vec_id]), abs=1e-12)
+
+
+def test_beam_and_steps_follow_the_count(spark, tmp_path):
+    """A walk along a chain of 30 nodes, one in a step, comes to its end."""
+    assert ann.Settings().among(80_000).beam >= 400
+    rows = [(i, [float(np.cos(i / 30)), float(np.sin(i / 30))]) for i in range(30)]
+    nodes = spark.createDataFrame(rows, "node long, v array<double>").coalesce(1)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(29)], "u long, n long").coalesce(1)
+    q = spark.createDataFrame([(29,)], "q long")
+    entries = spark.createDataFrame([(29, 0)], "q long, n long")
+    got = ann.greedy_search(ann._query_vectors(q, nodes), chain, ann.augmented(nodes, 1.0), f"file://{tmp_path}/w", ann.Settings(beam=2, expand=1), entries)
+    assert {r.n for r in got.collect()} == {28, 29}
