@@ -27,12 +27,12 @@ from .common import delete, keyed, partitions, stage, work_dir
 @dataclass(frozen=True)
 class Settings:
     """degree: neighbours of a node; sample: neighbours of a node that meet in a round, each way;
-    stop: rounds end when fewer than this share of the links are new;
+    stop: rounds end when fewer than this share of the links are new, that is, have not met others yet;
     beam: nodes that a query keeps; expand: nodes that it looks at in a step."""
 
     degree: int = 32
     sample: int = 18
-    stop: float = 0.02
+    stop: float = 0.005
     beam: int = 160
     expand: int = 32
 
@@ -134,32 +134,42 @@ def neighbour_graph(points: DataFrame, count: int, folder: str, s: Settings) ->
     k = min(s.degree, count - 1)
     # as random neighbours begin, any distance is an improvement
     begin = ids.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)))).select("u", F.pmod(F.col("u") + 1 + F.pmod(F.xxhash64("u", "i"), F.lit(count - 1)), F.lit(count)).alias("n")).where("u <> n").distinct()
-    graph = stage(begin.select("u", "n", F.lit(1e30).alias("d"), F.lit(True).alias("new")), f"{folder}/graph-0")
+    graph = stage(_drawn(begin.select("u", "n", F.lit(1e30).alias("d"), F.lit(True).alias("new")), 1, s), f"{folder}/graph-0")
     # ends by itself: a link comes only in place of a longer one
     for r in count_from(1):
         far = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(1e30)).alias("far"))
-        # what meets at a place: some of its neighbours and of those it is a neighbour of, new ones first
-        both = graph.select(F.col("u").alias("place"), "n", "new", F.lit(0).alias("way")).union(graph.select(F.col("n").alias("place"), F.col("u").alias("n"), "new", F.lit(1).alias("way")))
-        salted = both.withColumn("o", F.when(F.col("new"), F.lit(0.0)).otherwise(F.lit(1.0)) + F.pmod(F.xxhash64("place", "n", F.lit(r)), F.lit(1 << 20)) / float(1 << 20))
-        met = _few(salted, s)
+        # what meets at a place: those of its neighbours that go, and some of those it is a neighbour of, new ones first
+        back = graph.select(F.col("n").alias("place"), F.col("u").alias("n"), "new")
+        met = graph.where("go").select(F.col("u").alias("place"), "n", "new").union(_few(back, r, s)).groupBy("place", "n").agg(F.max("new").alias("new"))
         meeting = met.join(far.withColumnRenamed("u", "n"), "n")
         found = local_join(meeting, points, s)
-        old = graph.select("u", "n", "d", F.lit(False).alias("new"))
+        # a link that didn't go stays new
+        old = graph.select("u", "n", "d", (F.col("new") & ~F.col("go")).alias("new"))
         # rank by distance; a pair that was there keeps its age, and random ones go first
         every = old.union(found.select("u", "n", "d", F.lit(True).alias("new"))).groupBy("u", "n").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         w = Window.partitionBy("u").orderBy("d", "n")
         ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
-        graph = stage(ranked, f"{folder}/graph-{r}")
+        graph = stage(_drawn(ranked, r + 1, s), f"{folder}/graph-{r}")
         delete(spark, f"{folder}/graph-{r - 1}")
         if graph.where("new").count() < s.stop * k * count:
             return graph
 
 
-def _few(salted: DataFrame, s: Settings) -> DataFrame:
-    """place, n, new: the `sample` first of each place and way, without repeats."""
-    w = Window.partitionBy("place", "way").orderBy("o", "n")
-    first = salted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.sample)
-    return first.groupBy("place", "n").agg(F.max("new").alias("new"))
+def _salted(place: str, other: str, r: int) -> Column:
+    """The order in which the links of a place are drawn in round r: new ones first, by a hash."""
+    return F.when(F.col("new"), F.lit(0.0)).otherwise(F.lit(1.0)) + F.pmod(F.xxhash64(place, other, F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _drawn(graph: DataFrame, r: int, s: Settings) -> DataFrame:
+    """graph with go: the link is one of the `sample` of its node that meet in round r."""
+    w = Window.partitionBy("u").orderBy(_salted("u", "n", r), "n")
+    return graph.withColumn("go", F.row_number().over(w) <= s.sample)
+
+
+def _few(back: DataFrame, r: int, s: Settings) -> DataFrame:
+    """place, n, new: the `sample` first of each place."""
+    w = Window.partitionBy("place").orderBy(_salted("place", "n", r), "n")
+    return back.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.sample).drop("rank")
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folder: str, s: Settings, entries: DataFrame) -> DataFrame:

@@ -68,3 +68,13 @@ def test_beam_and_steps_follow_the_count(spark, tmp_path):
     entries = spark.createDataFrame([(29, 0)], "q long, n long")
     got = ann.greedy_search(ann._query_vectors(q, nodes), chain, ann.augmented(nodes, 1.0), f"file://{tmp_path}/w", ann.Settings(beam=2, expand=1), entries)
     assert {r.n for r in got.collect()} == {28, 29}
+
+
+def test_links_stay_new_until_they_have_met(spark, tmp_path):
+    """After one round (stop 2 ends it), a node has no more old links than were let meet."""
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>").coalesce(1)
+    points = ann.augmented(nodes, float((x * x).sum(axis=1).max()))
+    s = ann.Settings(degree=24, sample=4, stop=2)
+    graph = ann.neighbour_graph(points, 40, f"file://{tmp_path}/g", s).collect()
+    assert max(sum(r.u == u and not r.new for r in graph) for u in range(40)) <= s.sample
