@@ -6,8 +6,9 @@ is then exactly a larger inner product. The neighbour graph begins with random n
 round every node's neighbours, and those it is a neighbour of, are brought together in one place with
 their vectors, and each learns of the better ones among the others. After that, each query walks the
 graph: it looks at the neighbours of the best nodes that it hasn't looked at yet, and keeps the best,
-until none of them is new. Distances on the way are of vectors rounded to 16 bits, which halves what
-travels; the scores of what is found are of the original vectors.
+until none of them is new. What travels is each vector's direction in 32 bits and its length beside it;
+distances are taken from these in double precision, so that a long vector doesn't blur the others. The
+scores of what is found are of the original vectors.
 """
 
 from __future__ import annotations
@@ -50,22 +51,41 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def augmented(nodes: DataFrame, longest: float) -> DataFrame:
-    """node, x: the vector with its extra coordinate, divided by the greatest length, as float16 bytes."""
+    """node, x, len: the vector's direction as float32 bytes, and its length as a share of the greatest."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
-            rest = np.sqrt(np.maximum(longest - (v * v).sum(axis=1), 0))
-            x = (np.concatenate([v, rest[:, None]], axis=1) / np.sqrt(longest)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "x"])
+            x, length = directions(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(length / np.sqrt(longest))], names=["node", "x", "len"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, x binary")
+    return nodes.select("node", "v").mapInArrow(run, "node long, x binary, len double")
+
+
+def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its direction (float32) and length; scaled first, so that no square is lost."""
+    top = np.abs(v).max(axis=1, keepdims=True)
+    v = v / top
+    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / length).astype(np.float32), (length * top)[:, 0]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).astype(np.float64).reshape(len(column), -1)
+
+
+def distances(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Squared distances, with the extra coordinate, of all pairs: no term is a difference of large numbers."""
+    sq = (x * x).sum(axis=1)
+    apart = np.maximum(sq[:, None] + sq[None] - 2 * (x @ x.T), 0)
+    less = length[:, None] - length[None]
+    rest = np.sqrt(np.maximum((1 - length) * (1 + length), 0))
+    both = rest[:, None] + rest[None]
+    # the difference of the extra coordinates, from that of their squares
+    extra = np.divide(less * (length[:, None] + length[None]), both, out=np.zeros_like(both), where=both > 0)
+    return length[:, None] * length[None] * apart + less * less + extra * extra
 
 
 def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
@@ -73,7 +93,7 @@ def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
 
     meeting: place, n, far (the distance of n's furthest neighbour), new (n came in the last round).
     """
-    sent = meeting.join(points.withColumnRenamed("node", "n"), "n").select("place", "n", "far", "new", "x").repartition(2 * partitions(points.sparkSession), "place").sortWithinPartitions("place", "n")
+    sent = meeting.join(points.withColumnRenamed("node", "n"), "n").select("place", "n", "far", "new", "x", "len").repartition(2 * partitions(points.sparkSession), "place").sortWithinPartitions("place", "n")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -81,13 +101,13 @@ def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
         def settle(part: pa.RecordBatch):
             places, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
             far, new, x = part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False), matrix(part.column(4))
+            length = part.column(5).to_numpy()
             cuts = np.flatnonzero(np.diff(places)) + 1
             us, ns, ds = [], [], []
-            sq = (x * x).sum(axis=1)
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
                 if b - a < 2 or not new[a:b].any():
                     continue
-                d = sq[a:b, None] + sq[None, a:b] - 2 * (x[a:b] @ x[a:b].T)
+                d = distances(x[a:b], length[a:b])
                 np.fill_diagonal(d, np.inf)
                 ok = (d < far[a:b, None]) & (new[a:b, None] | new[None, a:b])
                 i, j = np.nonzero(ok)
@@ -95,7 +115,7 @@ def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
                 ns.append(ids[a:b][j])
                 ds.append(d[i, j])
             if us:
-                u, n, d = np.concatenate(us), np.concatenate(ns), np.concatenate(ds).astype(np.float64)
+                u, n, d = np.concatenate(us), np.concatenate(ns), np.concatenate(ds)
                 # each pair once, and of a node's finds the best ones
                 order = np.lexsort((n, d, u))
                 u, n, d = u[order], n[order], d[order]
@@ -173,7 +193,7 @@ def _few(back: DataFrame, r: int, s: Settings) -> DataFrame:
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folder: str, s: Settings, entries: DataFrame) -> DataFrame:
-    """q, n, d: the beam of each query. queries: q, y (vector with extra coordinate 0 as float16 bytes);
+    """q, n, d: the beam of each query. queries: q, y (the direction as float32 bytes);
     entries: q, n, the nodes at which a query begins."""
     spark = queries.sparkSession
     out = graph.select(F.col("u").alias("from"), "n").union(graph.select(F.col("n").alias("from"), F.col("u").alias("n"))).distinct()
@@ -183,10 +203,12 @@ def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folde
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x, y = matrix(batch.column(2)), matrix(batch.column(3))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x - y) ** 2).sum(axis=1).astype(np.float64))], names=["q", "n", "d"])
+                    x, y = matrix(batch.column(2)), matrix(batch.column(4))
+                    # nearer is a larger inner product, as the query's extra coordinate is 0
+                    d = -(x * y).sum(axis=1) * batch.column(3).to_numpy()
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "n", "d"])
 
-        return pairs.join(points.withColumnRenamed("node", "n"), "n").join(queries, "q").select("q", "n", "x", "y").mapInArrow(run, "q long, n long, d double")
+        return pairs.join(points.withColumnRenamed("node", "n"), "n").join(queries, "q").select("q", "n", "x", "len", "y").mapInArrow(run, "q long, n long, d double")
 
     w = Window.partitionBy("q").orderBy("d", "n")
     rank = F.row_number().over(w)
@@ -259,13 +281,13 @@ def _numbered(groups: DataFrame) -> DataFrame:
 
 
 def _query_vectors(q: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, y: the vectors, of length 1, with extra coordinate 0. A query's length doesn't change its order."""
+    """q, y: the vectors' directions. A query's length doesn't change its order."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
-                y = np.concatenate([v / np.sqrt((v * v).sum(axis=1, keepdims=True)), np.zeros((len(v), 1))], axis=1).astype(np.float16)
+                y, _ = directions(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in y], pa.binary())], names=["q", "y"])
 
     return nodes.join(q, nodes.node == q.q, "left_semi").select("node", "v").mapInArrow(run, "q long, y binary")

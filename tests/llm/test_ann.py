@@ -78,3 +78,19 @@ def test_links_stay_new_until_they_have_met(spark, tmp_path):
     s = ann.Settings(degree=24, sample=4, stop=2)
     graph = ann.neighbour_graph(points, 40, f"file://{tmp_path}/g", s).collect()
     assert max(sum(r.u == u and not r.new for r in graph) for u in range(40)) <= s.sample
+
+
+def test_one_long_vector(spark):
+    """Of nodes that meet, each learns of its nearest, also where one vector is 10,000 times as long."""
+    x = np.random.default_rng(6).normal(size=(60, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 10_000
+    sq = (x * x).sum(axis=1)
+    rest = np.sqrt(np.maximum(sq.max() - sq, 0))
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) + (rest[:, None] - rest[None]) ** 2
+    np.fill_diagonal(d, np.inf)
+    want = {(u, int(n)) for u in range(60) for n in np.argsort(d[u])[:5]}
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>").coalesce(1)
+    meeting = spark.createDataFrame([(0, i, 1e30, True) for i in range(60)], "place long, n long, far double, new boolean").coalesce(1)
+    got = ann.local_join(meeting, ann.augmented(nodes, float(sq.max())), ann.Settings(degree=5)).collect()
+    assert {(r.u, r.n) for r in got} == want
