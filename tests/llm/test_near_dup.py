@@ -104,6 +104,13 @@ def test_components(spark, tmp_path):
     assert components(spark.createDataFrame([], "a long, b long"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_components_of_a_shuffled_path(spark, tmp_path):
+    ids = random.Random(1).sample(range(1000), 1000)
+    path = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").coalesce(1)
+    got = components(path, f"file://{tmp_path}/p").collect()
+    assert len(got) == 1000 and {r.component for r in got} == {0}
+
+
 def test_sql(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate([*family(11, 9, 7), *family(12, 4, 2), None, "", "a b", "a B"])]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
