@@ -10,13 +10,13 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     # scans and table references
     "scan_projection": "SELECT o_orderkey, o_totalprice FROM orders",
     "scan_path_table": (f"SELECT orders.o_orderkey, o_orderstatus FROM {FILE} WHERE orders.o_totalprice > 100000", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000"),
-    "scan_path_alias": (f"SELECT x.o_orderkey FROM {FILE} AS x WHERE x.o_custkey < 100", "SELECT o_orderkey FROM orders WHERE o_custkey < 100"),
+    "scan_path_alias": (f"SELECT x.o_orderkey FROM {FILE} AS x", "SELECT o_orderkey FROM orders"),
     "scan_ordered_multi_key": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey LIMIT 50",
     "scan_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "scan_key_set_filtered": "SELECT l_orderkey, l_linenumber FROM lineitem LEFT SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) k ON l_orderkey = k.o_orderkey".replace("LEFT SEMI JOIN", "SEMI JOIN"),
     "scan_list_column": ("SELECT vec_id, size(embedding) AS n, embedding[1] AS first_value FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, embedding[1] AS first_value FROM embeddings"),
     # projection
-    "project_expression": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + 1 AS more FROM lineitem WHERE l_orderkey < 500",
+    "project_expression": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + 1 AS more FROM lineitem",
     "project_wildcard": "SELECT * FROM nation",
     "project_qualified_wildcard": "SELECT n.*, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
     "project_alias_order": "SELECT c_custkey AS id, c_acctbal * 2 AS twice FROM customer ORDER BY twice DESC, id LIMIT 20",
@@ -46,7 +46,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_inner_multi_key": "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 45",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey",
-    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey",
+    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_acctbal > c.c_acctbal",
     "join_semi": "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey",
     "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
     "join_residual": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000 AND o_orderstatus = 'O'",
@@ -112,11 +112,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "set_nested": "(SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0 ORDER BY k DESC LIMIT 10",
-    "set_top_k_union": "SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_custkey < 300 UNION ALL SELECT c_custkey, c_acctbal FROM customer ORDER BY v DESC, k LIMIT 15",
+    "set_top_k_union": "SELECT o_orderkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer ORDER BY v DESC, k LIMIT 15",
     # scalars
     "scalar_literals": "SELECT r_regionkey, 7 AS i, 1.5 AS f, 'it''s' AS s, CAST(NULL AS VARCHAR) AS n, DATE '2024-02-29' AS d, TIMESTAMP '2024-01-01 10:00:00' AS t FROM region".replace("1.5 AS f", "CAST(1.5 AS DOUBLE) AS f"),
     "scalar_interval": "SELECT r_regionkey, CAST(DATE '2024-01-31' + INTERVAL '1' MONTH AS DATE) AS m, CAST(DATE '2024-03-01' - INTERVAL '1' DAY AS DATE) AS d, CAST(DATE '2024-02-29' + INTERVAL '1' YEAR AS DATE) AS y FROM region",
-    "scalar_arithmetic": "SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS a, l_quantity - l_tax AS s, l_quantity * l_tax AS m, l_extendedprice / l_quantity AS d, -l_linenumber AS neg FROM lineitem WHERE l_orderkey < 300",
+    "scalar_arithmetic": "SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS a, l_quantity - l_tax AS s, l_quantity * l_tax AS m, l_extendedprice / l_quantity AS d, -l_linenumber AS neg FROM lineitem",
     "scalar_int_div": ("SELECT o_orderkey, o_custkey div 7 AS q, o_custkey % 7 AS r FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q, o_custkey % 7 AS r FROM orders"),
     "scalar_decimal_literals": "SELECT r_regionkey, CAST(0.06 + 0.01 AS DECIMAL(4,2)) AS x, CAST(0.06 - 0.01 AS DECIMAL(4,2)) AS y FROM region",
     "scalar_cast_text": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, CAST(o_totalprice > 1000 AS VARCHAR) AS b FROM orders",
