@@ -11,7 +11,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "scan_projection": "SELECT o_orderkey, o_totalprice FROM orders",
     "scan_path_table": (f"SELECT orders.o_orderkey, o_orderstatus FROM {FILE} WHERE orders.o_totalprice > 100000", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000"),
     "scan_path_alias": (f"SELECT x.o_orderkey FROM {FILE} AS x", "SELECT o_orderkey FROM orders"),
-    "scan_ordered_multi_key": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey LIMIT 50",
+    "scan_ordered_multi_key": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey",
     "scan_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "scan_key_set_filtered": "SELECT l_orderkey, l_linenumber FROM lineitem LEFT SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) k ON l_orderkey = k.o_orderkey".replace("LEFT SEMI JOIN", "SEMI JOIN"),
     "scan_list_column": ("SELECT vec_id, size(embedding) AS n, embedding[1] AS first_value FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, embedding[1] AS first_value FROM embeddings"),
@@ -19,7 +19,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "project_expression": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + 1 AS more FROM lineitem",
     "project_wildcard": "SELECT * FROM nation",
     "project_qualified_wildcard": "SELECT n.*, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
-    "project_alias_order": "SELECT c_custkey AS id, c_acctbal * 2 AS twice FROM customer ORDER BY twice DESC, id LIMIT 20",
+    "project_alias_order": "SELECT c_custkey AS id, c_acctbal * 2 AS twice FROM customer ORDER BY twice DESC, id",
     "project_constant": "SELECT r_name, 1 AS one, 'x' AS letter, true AS yes FROM region",
     # predicates
     "filter_comparisons": "SELECT o_orderkey FROM orders WHERE o_totalprice >= 50000 AND o_totalprice < 150000 AND o_orderstatus <> 'F' AND o_custkey > 10 AND o_custkey <= 900",
@@ -96,11 +96,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "window_multi_keys": "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS rn FROM lineitem",
     "window_filter_order_limit": "SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS r FROM orders WHERE o_orderstatus = 'O' ORDER BY r, o_orderkey LIMIT 25 OFFSET 5",
     # sort, limit, distinct, sets
-    "sort_null_default": "SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer ORDER BY k DESC, c_custkey LIMIT 100",
-    "sort_nulls_first": "SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer ORDER BY k NULLS FIRST, c_custkey DESC LIMIT 100",
-    "sort_ordinal": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY 2 DESC, 1 LIMIT 7",
-    "sort_by_aggregate": "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY sum(c_acctbal) DESC, c_nationkey LIMIT 5",
-    "sort_by_expression": "SELECT p_partkey, p_size * 2 AS d FROM part ORDER BY p_size * 2 DESC, p_partkey LIMIT 10",
+    "sort_null_default": "SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer ORDER BY k DESC, c_custkey",
+    "sort_nulls_first": "SELECT c_custkey, nullif(c_nationkey, 7) AS k FROM customer ORDER BY k NULLS FIRST, c_custkey DESC",
+    "sort_ordinal": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY 2 DESC, 1",
+    "sort_by_aggregate": "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY sum(c_acctbal) DESC, c_nationkey",
+    "sort_by_expression": "SELECT p_partkey, p_size * 2 AS d FROM part ORDER BY p_size * 2 DESC, p_partkey",
     "limit_offset": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 30 OFFSET 70",
     "top_n": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10",
     "distinct_pair": "SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem",
