@@ -226,10 +226,12 @@ def train(good: list[str], bad: list[str], beyond: float = 0.995) -> Field:
     return Field.fit(np.concatenate([a.features, b.features]), np.concatenate([a.per_text, b.per_text]), labels)
 
 
-def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Field:
-    """Fits the field to at most `most` labelled documents of either kind, chosen by a hash of doc_id.
+def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500, longest: int = 200_000) -> Field:
+    """Fits the field to labelled documents: `most` of either kind at most, chosen by a hash of doc_id,
+    with texts of `longest` code points at most.
 
-    docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; null rows don't count).
+    docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; null rows don't count). Where rows share
+    a doc_id, those with the smallest hashes of their texts are used, 2 * most rows in all.
     """
     rows = []
     known = keyed(labels, doc_id="doc_id", quality="quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
@@ -239,7 +241,8 @@ def train_on(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Field:
         return train([], [])
     # 2 * most rows at most
     few = docs.sparkSession.createDataFrame(rows, "doc_id long, quality long")
-    texts = keyed(docs, doc_id="doc_id", text="text").join(F.broadcast(few), "doc_id").where("text IS NOT NULL").select("quality", "doc_id", "text").collect()
+    texts = keyed(docs, doc_id="doc_id", text="text").where(F.length("text") <= longest).join(F.broadcast(few), "doc_id").select("quality", "doc_id", "text")
+    texts = texts.orderBy(F.xxhash64("text"), "doc_id", "quality").limit(2 * most).collect()
     texts.sort()
     return train([r.text for r in texts if r.quality == 1], [r.text for r in texts if r.quality == 0])
 
@@ -283,6 +286,7 @@ def judge(df: DataFrame, field: Field, text: str = "text", min_share: float = 0.
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures, base_failed and kept of every document; texts without words have 0 and fail."""
     docs = keyed(documents(spark, sf_dir), doc_id="doc_id", text="text")
     field = train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(docs, field, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept", "content_share")

@@ -35,6 +35,40 @@ def test_words_pool_all_positions():
     assert np.allclose(out[:, :-1].sum(axis=1), out[:, -1], atol=1e-3) and np.allclose(out[0], out[4])
 
 
+def test_windows_cover_whole_words():
+    """Every byte counts once, in a window cut between characters with what stands around it."""
+    for word in ["", "a", "x" * 95, "x" * 96, "y" * 1000, "日本語の長い文章です" * 40, "🙂" * 77, "é" * 200]:
+        b, at = word.encode() + b" ", 0
+        for piece, lo, hi in langid.windows(word):
+            assert len(piece) <= langid.WINDOW and 0 <= lo < hi <= len(piece)
+            assert b[at - lo : at - lo + len(piece)] == piece
+            assert lo >= min(at, langid.MARGIN - 3) and len(piece) - hi >= min(len(b) - at - hi + lo, langid.MARGIN - 3)
+            piece[lo:hi].decode() and piece.decode()
+            at += hi - lo
+        assert at == len(b)
+
+
+def test_long_words_and_scripts_without_spaces(spark):
+    """What tells languages apart lies beyond the first 100 bytes of 200-byte words, or in spaceless text."""
+    rng = np.random.default_rng(3)
+    common = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    rows = []
+    for i in range(300):
+        tail = "zyz" if i % 2 else "wvw"
+        rows.append((i, " ".join(common(110) + tail * 30 for _ in range(6)), "xa" if i % 2 else "xb"))
+        rows.append((1000 + i, "".join(rng.choice(list("あいうえおかきくけこ" if i % 2 else "人日本中国大小山川口"), 300)), "ja" if i % 2 else "zh"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_on(docs, docs_per_language=60, windows_per_language=400)
+    got = langid.identify(docs, model).where(langid.fold(langid.F.col("doc_id")) == 0).collect()
+    assert len(got) > 60 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_rows_of_one_id_and_many_languages(spark):
+    docs = spark.createDataFrame([(7, f"word{i} again", "l%d" % (i % 40)) for i in range(400)] + [(None, "x y", "l1")], "doc_id long, text string, lang string")
+    model = langid.train_on(docs, docs_per_language=3, windows_per_language=5)
+    assert len(model.languages) == 40
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows = langid.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -46,7 +80,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_texts(spark):
     docs = odd_documents(spark)
-    model = langid.train(["the", "and", "which"] * 40 + ["der", "und", "nicht"] * 40, np.repeat([0, 1], 120), ["de_wrong", "en"], epochs=1)
+    model = langid.train([(w.encode() + b" ", 0, len(w) + 1) for w in ["the", "and", "which"] * 40 + ["der", "und", "nicht"] * 40], np.repeat([0, 1], 120), ["de_wrong", "en"], epochs=1)
     for r in langid.identify(docs, model).collect():
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and (letters or r.score == 0)
