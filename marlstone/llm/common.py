@@ -40,6 +40,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def publish(store, own: str, path: str) -> None:
+    """Moves a file to its last name in a pyarrow store; the same file may be there, of another attempt."""
+    try:
+        store.move(own, path)
+    except OSError:
+        if store.get_file_info(path).size != store.get_file_info(own).size:
+            raise
+        store.delete_file(own)
+
+
 def to_uri(path: str) -> str:
     """spark.checkpoint.dir may be a plain path; pyarrow wants a scheme."""
     return path if re.match(r"\w+:", path) else "file://" + path
@@ -134,4 +144,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "held", "keyed", "partitions", "release", "stage", "to_uri", "work_dir"]
+__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "held", "keyed", "partitions", "publish", "release", "stage", "to_uri", "work_dir"]

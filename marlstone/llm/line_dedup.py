@@ -5,8 +5,10 @@ hash (among 10 billion distinct lines, about 3 pairs are expected to collide). T
 are cut into shards by their top bits. A shard has a minimal perfect hash (levels of bits: a key sits
 at the first level where no other key has its place), and two arrays in its order: a fingerprint of
 16 bits and the number of documents, which stops at 65535. Documents look up their lines in the
-arrays; lines are never joined. Beyond `local_bytes` of arrays, line hashes travel to the shards'
-tasks and only the lines to drop come back.
+arrays; lines are never joined, and neither they nor their hashes are sent anywhere for it. A task
+gathers the distinct hashes of a large block of text, in order, so that it goes through the shards
+once a block and holds one of them at a time, mapped into memory where the store allows it; the
+block's rows wait compressed.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import hashlib
 import os
 import posixpath
 import struct
-from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, documents, extend, keyed, partitions, release, stage, to_uri, work_dir
+from .common import T, delete, documents, field, keyed, partitions, publish, release, stage, to_uri, work_dir
 from .segments import cut, slices
 
 LEVELS, SPACING = 48, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Arrays up to this size in all are read by every worker, which holds `HELD` bytes of them at a time.
-LOCAL_BYTES, HELD = 4 << 30, 160 << 20
+#: Bytes and lines of a block: a task reads the index once for each. More memory for a task allows larger blocks.
+BLOCK_BYTES, BLOCK_LINES = 192 << 20, 1 << 22
 
 
 def spread(h: np.ndarray, seed: int) -> np.ndarray:
@@ -43,10 +45,10 @@ def spread(h: np.ndarray, seed: int) -> np.ndarray:
 class PerfectHash:
     """Distinct 64-bit hashes to 0 .. n - 1, with a fingerprint and a count for each."""
 
-    def __init__(self, sizes: list[int], words: np.ndarray, left: np.ndarray, marks: np.ndarray, counts: np.ndarray):
-        self.sizes, self.words, self.left, self.marks, self.counts = sizes, words, left, marks, counts
+    def __init__(self, sizes: list[int], words: np.ndarray, ranks: np.ndarray, left: np.ndarray, marks: np.ndarray, counts: np.ndarray):
+        """words: the bits of all levels; ranks: ones before each word; left: the keys of no level, sorted."""
+        self.sizes, self.words, self.ranks, self.left, self.marks, self.counts = sizes, words, ranks, left, marks, counts
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> PerfectHash:
@@ -62,7 +64,9 @@ class PerfectHash:
             parts.append(np.packbits(alone, bitorder="little").view("<u8"))
             rest = rest[~alone[at]]
         words = np.concatenate(parts) if parts else np.zeros(0, "<u8")
-        out = cls(sizes, words, np.sort(rest), np.zeros(len(keys), "<u2"), np.zeros(len(keys), "<u2"))
+        ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+        ranks = np.concatenate([[0], ones]).astype("<u4")
+        out = cls(sizes, words, ranks, np.sort(rest), np.zeros(len(keys), "<u2"), np.zeros(len(keys), "<u2"))
         at = out._place(keys)
         out.marks[at] = (spread(keys, LEVELS) >> np.uint64(48)).astype("<u2")
         out.counts[at] = np.minimum(counts, 65535)
@@ -79,12 +83,12 @@ class PerfectHash:
             word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
             hit = word >> bit & np.uint64(1) != 0
             below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
-            out[open_[hit]] = self.ranks[at[hit] >> 6] + np.bitwise_count(below)
+            out[open_[hit]] = self.ranks[at[hit] >> 6].astype(np.int64) + np.bitwise_count(below)
             open_ = open_[~hit]
         if len(open_) and len(self.left):
             at = np.searchsorted(self.left, keys[open_])
             ok = (at < len(self.left)) & (self.left[np.minimum(at, len(self.left) - 1)] == keys[open_])
-            out[open_[ok]] = self.ranks[-1] + at[ok]
+            out[open_[ok]] = int(self.ranks[-1]) + at[ok]
         return out
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
@@ -96,15 +100,16 @@ class PerfectHash:
         return np.where(found, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0)
 
     def to_bytes(self) -> bytes:
-        head = struct.pack(f"<4sIIQ{len(self.sizes)}Q", b"MPH1", len(self.sizes), len(self.left), len(self.marks), *self.sizes)
-        return b"".join([head, self.words.tobytes(), self.left.astype("<u8").tobytes(), self.marks.tobytes(), self.counts.astype("<u2").tobytes()])
+        head = struct.pack(f"<4sIIQ{len(self.sizes)}Q", b"MPH2", len(self.sizes), len(self.left), len(self.marks), *self.sizes)
+        return b"".join([head, self.words.tobytes(), self.ranks.tobytes(), self.left.astype("<u8").tobytes(), self.marks.tobytes(), self.counts.astype("<u2").tobytes()])
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> PerfectHash:
+    def from_bytes(cls, data) -> PerfectHash:
+        """The shard in a file's bytes, or in a buffer of them, of which only what is looked at is read."""
         _, levels, left, n = struct.unpack_from("<4sIIQ", data)
         sizes = list(struct.unpack_from(f"<{levels}Q", data, 20))
         at, parts = 20 + 8 * levels, []
-        for kind, k in (("<u8", sum(sizes) // 64), ("<u8", left), ("<u2", n), ("<u2", n)):
+        for kind, k in (("<u8", sum(sizes) // 64), ("<u4", sum(sizes) // 64 + 1), ("<u8", left), ("<u2", n), ("<u2", n)):
             parts.append(np.frombuffer(data, kind, k, at))
             at += parts[-1].nbytes
         return cls(sizes, *parts)
@@ -121,38 +126,35 @@ class LineIndex:
 
 
 class Shards:
-    """A worker's view of an index: shards are read when they are needed, the least used go."""
+    """A task's view of an index, a shard at a time. reads: how many have been opened."""
 
     def __init__(self, index: LineIndex):
         from pyarrow import fs as pafs
 
-        self.index, self.held, self.size = index, OrderedDict(), 0
+        self.index, self.reads = index, 0
         self.store, self.base = pafs.FileSystem.from_uri(index.folder)
+        self.mapped = isinstance(self.store, pafs.LocalFileSystem)
 
     def shard(self, k: int) -> PerfectHash | None:
-        if k in self.held:
-            self.held.move_to_end(k)
-            return self.held[k][0]
+        """Shard k; none if no line has a hash of it."""
         path = posixpath.join(self.base, f"{k:08d}.mph")
+        self.reads += 1
         try:
+            if self.mapped:
+                return PerfectHash.from_bytes(pa.memory_map(path).read_buffer())
             with self.store.open_input_file(path) as f:
-                data = f.read()
-        except FileNotFoundError:  # no line has a hash of this shard
-            data = None
-        self.held[k] = (PerfectHash.from_bytes(data) if data else None, len(data or b""))
-        self.size += self.held[k][1]
-        while self.size > HELD and len(self.held) > 1:
-            self.size -= self.held.popitem(last=False)[1][1]
-        return self.held[k][0]
+                return PerfectHash.from_bytes(f.read_buffer())
+        except FileNotFoundError:
+            return None
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts of hashes in ascending order, so that each shard's are together."""
         out = np.zeros(len(hashes), np.int64)
         of = shard_of(hashes, self.index.bits)
-        order = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.diff(of[order])) + 1
-        for at in np.split(order, cuts) if len(order) else []:
-            if (s := self.shard(int(of[at[0]]))) is not None:
-                out[at] = s.lookup(hashes[at])
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b and (s := self.shard(int(of[a]))) is not None:
+                out[a:b] = s.lookup(hashes[a:b])
         return out
 
 
@@ -211,7 +213,7 @@ def index_lines(df: DataFrame, folder: str, text: str = "text", min_chars: int =
             own = posixpath.join(base, f"_{shard:08d}.{os.getpid()}.{os.urandom(4).hex()}")
             with store.open_output_stream(own) as out:
                 out.write(data)
-            store.move(own, posixpath.join(base, f"{shard:08d}.mph"))  # a task run again writes the same bytes
+            publish(store, own, posixpath.join(base, f"{shard:08d}.mph"))  # a task run again writes the same bytes
             rows.append((shard, len(h), len(data)))
 
         shard, parts = -1, []
@@ -236,91 +238,87 @@ def index_lines(df: DataFrame, folder: str, text: str = "text", min_chars: int =
     return LineIndex(root, bits, int(size), total)
 
 
-def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", min_docs: int = 10, min_chars: int = 1, digest: str | None = None, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def drop_lines(df: DataFrame, index: LineIndex, text: str = "text", min_docs: int = 10, min_chars: int = 1, digest: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with n_lines, n_dropped and its texts without the lines whose key min_docs documents have.
 
     The other lines stay as they are, joined by newlines; a null text counts as one empty line and
     becomes the empty text. digest: the name of a column of the kept text's SHA-256 (hex of UTF-8) to
-    return in the text's place. The index must be of these texts, with the same min_chars.
+    return in the text's place. The index must be of these texts, with the same min_chars. Columns of
+    the added names, in any case, are replaced; of an empty table nothing comes.
     """
-    if index.n_bytes > local_bytes:
-        df, flags = _routed(df, index, text, min_docs, min_chars)
-    else:
-        flags = None
     added = {"n_lines": "long", "n_dropped": "long", (digest or text): "string"}
-
-    def make():
-        release()
-        shards = Shards(index) if flags is None else None
-
-        def step(batch):
-            column = batch.column(batch.schema.get_field_index(text))
-            marked = None if flags is None else batch.column(batch.schema.get_field_index(flags)).to_pylist()
-            n_lines, n_dropped, out, row = [], [], [], 0
-            for texts in slices(column):
-                if shards is None:
-                    lines = pc.split_pattern(texts, "\n")
-                    flat, per_text = lines.flatten(), np.diff(lines.offsets.to_numpy())
-                    drop = np.zeros(len(flat), bool)
-                    for start, m in zip((np.cumsum(per_text) - per_text).tolist(), marked[row : row + len(texts)], strict=True):
-                        drop[[start + i for i in m or []]] = True
-                else:
-                    flat, codes, hashes, long_, per_text = lines_of(texts, min_chars)
-                    drop = ((shards.counts(hashes) >= min_docs) & long_)[codes]
-                ends = np.cumsum(per_text)
-                dropped = np.add.reduceat(drop.astype(np.int64), ends - per_text).tolist()
-                n_lines += per_text.tolist()
+    lower = {a.lower() for a in added}
+    keep = [c for c in df.columns if c.lower() not in lower and c != text]
+    df = df.select(*[df[c] for c in [*keep, text]])
+    schema = T.StructType([df.schema[c] for c in keep] + [field(n, k) for n, k in added.items()])
+    names = [*keep, *added]
+
+    def settle(block: list[Waiting], shards: Shards) -> Iterator[pa.RecordBatch]:
+        hashes = np.unique(np.concatenate([part.hashes for w in block for part in w.parts]))
+        often = hashes[shards.counts(hashes) >= min_docs]
+        for w in block:
+            batch = w.batch()
+            n_lines, n_dropped, out = [], [], []
+            for texts, part in zip(slices(batch.column(len(keep))), w.parts, strict=True):
+                drop = np.isin(part.hashes, often)[part.codes] & part.counts[part.codes]
+                ends = np.cumsum(part.per_text)
+                dropped = np.add.reduceat(drop.astype(np.int64), ends - part.per_text).tolist()
+                flat = pc.split_pattern(texts, "\n").flatten() if any(dropped) else None
+                n_lines += part.per_text.tolist()
                 n_dropped += dropped
-                for i, (stop, n, k) in enumerate(zip(ends.tolist(), per_text.tolist(), dropped, strict=True)):
-                    if k:
-                        kept = flat.slice(stop - n, n).filter(pa.array(~drop[stop - n : stop]))
-                        kept = "\n".join(kept.to_pylist())
-                    else:
-                        kept = texts[i].as_py()
+                for i, (stop, n, k) in enumerate(zip(ends.tolist(), part.per_text.tolist(), dropped, strict=True)):
+                    kept = "\n".join(flat.slice(stop - n, n).filter(pa.array(~drop[stop - n : stop])).to_pylist()) if k else texts[i].as_py()
                     out.append(hashlib.sha256(kept.encode()).hexdigest() if digest else kept)
-                row += len(texts)
-            return {"n_lines": n_lines, "n_dropped": n_dropped, (digest or text): out}
+            cols = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=names)
 
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        shards, block, size, lines = Shards(index), [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = []
+            for texts in slices(batch.column(len(keep))):
+                _, codes, hashes, counts, per_text = lines_of(texts, min_chars)
+                parts.append(Lines(codes, hashes, counts, per_text))
+                lines += len(codes)
+            block.append(Waiting(parts, batch))
+            size += batch.nbytes
+            if size >= block_bytes or lines >= BLOCK_LINES:
+                yield from settle(block, shards)
+                block, size, lines = [], 0, 0
+        if block:
+            yield from settle(block, shards)
 
-    keep = [c for c in df.columns if c != flags and not (digest and c == text)]
-    return extend(df, added, make, [text] + ([flags] if flags else []), keep=keep)
+    return df.mapInArrow(run, schema)
 
 
-def _routed(df: DataFrame, index: LineIndex, text: str, min_docs: int, min_chars: int) -> tuple[DataFrame, str]:
-    """df with a column of the numbers of its lines to drop: the hashes go to the shards' tasks.
+@dataclass
+class Lines:
+    """A slice's lines: the code of each line's key, the keys' hashes, whether a key counts, lines per text."""
 
-    Rows are numbered by partition and place, which a file scan gives alike each time.
-    """
-    spark, row, flags = df.sparkSession, "__row", "__drop"
-    df = df.withColumn(row, F.monotonically_increasing_id())
-    bits = index.bits
+    codes: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    per_text: np.ndarray
 
-    def hashes(batches):
-        for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1)):
-                _, codes, h, long_, per_text = lines_of(texts, min_chars)
-                ids = np.repeat(batch.column(0).to_numpy()[at : at + len(texts)], per_text)
-                place = np.arange(len(codes)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-                some = long_[codes]
-                h = h[codes][some]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(place[some]), pa.array(h.view(np.int64)), pa.array(shard_of(h, bits))], names=["row", "line", "h", "shard"])
-                at += len(texts)
-
-    def probe(batches):
-        shards = Shards(index)
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(shards.counts(batch.column(2).to_numpy().view(np.uint64)) >= min_docs))
 
-    sent = keyed(df, row=row, text=text).mapInArrow(hashes, "row long, line long, h long, shard long")
-    # a frequent line has as many rows as documents: the salt spreads a shard's lines over some tasks
-    dealt = sent.repartition(4 * partitions(spark), "shard", F.pmod("row", F.lit(8))).sortWithinPartitions("shard")
-    hits = dealt.mapInArrow(probe, "row long, line long").groupBy("row").agg(F.collect_list("line").alias(flags))
-    return df.join(hits.withColumnRenamed("row", row), row, "left").drop(row), flags
+class Waiting:
+    """A batch whose lines have been read, compressed until its block is looked up."""
+
+    def __init__(self, parts: list[Lines], batch: pa.RecordBatch):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        self.parts, self.data = parts, sink.getvalue()
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.ipc.open_stream(self.data).read_next_batch()
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines, n_dropped and kept_sha256 of every document; a null text is one empty line, never dropped."""
     docs = keyed(documents(spark, sf_dir), doc_id="doc_id", text="text")
     index = index_lines(docs, work_dir(spark) + "/lines")
     return drop_lines(docs, index, digest="kept_sha256").select("doc_id", "n_lines", "n_dropped", "kept_sha256")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import line_dedup
@@ -40,19 +41,50 @@ def test_perfect_hash():
         assert (h.lookup(other) > 0).mean() < 0.001
 
 
-@pytest.mark.parametrize("min_docs, min_chars, routed", [(10, 1, False), (3, 1, False), (3, 9, False), (3, 1, True), (1, 2, False)])
-def test_drop_lines(spark, tmp_path, min_docs, min_chars, routed):
+@pytest.mark.parametrize("min_docs, min_chars, block", [(10, 1, 1 << 30), (3, 1, 1 << 30), (3, 9, 1), (3, 1, 1), (1, 2, 1 << 30)])
+def test_drop_lines(spark, tmp_path, min_docs, min_chars, block):
     docs = odd_documents(spark, MORE)
     docs.write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     index = line_dedup.index_lines(docs, f"file://{tmp_path}/i", min_chars=min_chars, keys_per_shard=16)
     assert index.bits > 1 or min_chars > 1
-    got = line_dedup.drop_lines(docs, index, min_docs=min_docs, min_chars=min_chars, local_bytes=0 if routed else 1 << 30)
+    got = line_dedup.drop_lines(docs, index, min_docs=min_docs, min_chars=min_chars, block_bytes=block)
     assert set(got.columns) == {"doc_id", "text", "lang", "N_Tokens", "kept", "n_lines", "n_dropped"}
     rows = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect())
     assert rows == brute([(r.doc_id, r.text) for r in docs.collect()], min_docs, min_chars)
 
 
+def test_a_block_reads_each_shard_once(spark, tmp_path):
+    """Whatever the size of the index, and never a shard that the block has no line of."""
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i, i + 40))) for i in range(300)], "doc_id long, text string")
+    index = line_dedup.index_lines(docs, f"file://{tmp_path}/i", keys_per_shard=8)
+    shards = line_dedup.Shards(index)
+    assert index.bits >= 5 and index.n_lines == 339
+    _, _, hashes, _, _ = line_dedup.lines_of(pa.array([r.text for r in docs.collect()]), 1)
+    n = shards.counts(np.sort(hashes))
+    assert shards.reads <= 1 << index.bits and sorted(n.tolist())[-1] == 40
+    before = shards.reads
+    shards.counts(np.sort(hashes)[:3])
+    assert shards.reads - before <= 3
+
+
+def test_a_file_of_another_attempt(tmp_path):
+    from pyarrow import fs
+
+    from marlstone.llm.common import publish
+
+    class Strict(fs.LocalFileSystem):
+        def move(self, a, b):
+            raise OSError("it is there")
+
+    for name, data in (("x", b"abc"), ("own", b"abc"), ("other", b"ab")):
+        (tmp_path / name).write_bytes(data)
+    publish(Strict(), f"{tmp_path}/own", f"{tmp_path}/x")
+    assert not (tmp_path / "own").exists() and (tmp_path / "x").read_bytes() == b"abc"
+    with pytest.raises(OSError):
+        publish(Strict(), f"{tmp_path}/other", f"{tmp_path}/x")
+
+
 def test_no_documents(spark, tmp_path):
     docs = odd_documents(spark).limit(0)
     index = line_dedup.index_lines(docs, f"file://{tmp_path}/i")
