@@ -2,18 +2,26 @@
 
 Equal vectors are one node. Inner products become distances by one more coordinate, the square root
 of the greatest squared length less the vector's own; for a query, whose extra coordinate is 0, nearer
-is then exactly a larger inner product. The neighbour graph begins with random neighbours; in each
-round every node's neighbours, and those it is a neighbour of, are brought together in one place with
-their vectors, and each learns of the better ones among the others. After that, each query walks the
-graph: it looks at the neighbours of the best nodes that it hasn't looked at yet, and keeps the best,
-until none of them is new. What travels is each vector's direction in 32 bits and its length beside it;
-distances are taken from these in double precision, so that a long vector doesn't blur the others. The
-scores of what is found are of the original vectors.
+is then exactly a larger inner product. The neighbour graph begins with the best among nodes that lie
+next to each other in the order of a few space-filling keys of random projections; in each round every
+node's neighbours, and those it is a neighbour of, are brought together in one place with their
+vectors, and each learns of the better ones among the others. What travels for this is each vector's
+direction in 32 bits and its length beside it; distances are taken from these in double precision, so
+that a long vector doesn't blur the others.
+
+The finished graph is written by ranges of nodes, each node's vector and links in one file. Each query
+walks it: it looks at the neighbours of the best nodes that it hasn't looked at yet, and keeps the
+best, until none of them is new. A task walks with a block of queries at a time, in step, and maps the
+files; no vector is sent for it. Scores are of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import posixpath
+import struct
+from collections import OrderedDict
 from dataclasses import dataclass, replace
 from itertools import count as count_from
 
@@ -21,21 +29,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import delete, keyed, partitions, stage, work_dir
+from .common import delete, keyed, partitions, publish, stage, to_uri, work_dir
 
 
 @dataclass(frozen=True)
 class Settings:
-    """degree: neighbours of a node; sample: neighbours of a node that meet in a round, each way;
-    stop: rounds end when fewer than this share of the links are new, that is, have not met others yet;
-    beam: nodes that a query keeps; expand: nodes that it looks at in a step."""
+    """degree: neighbours of a node; tables, window: keys at first, and nodes next to each other by a
+    key that are compared; sample: neighbours of a node that meet in a round, each way; stop: rounds end
+    when fewer than this share of the links are new, that is, have not met others yet; back: links to a
+    node that it can be left by, besides its own; beam: nodes that a query keeps; expand: nodes that it
+    looks at in a step; block: queries that walk together."""
 
     degree: int = 32
-    sample: int = 18
-    stop: float = 0.005
+    tables: int = 4
+    window: int = 256
+    sample: int = 14
+    stop: float = 0.1
+    back: int = 64
     beam: int = 160
     expand: int = 32
+    block: int = 128
 
     def among(self, count: int) -> Settings:
         """From 10,000 nodes on, a query keeps more of them, as the square root of their count."""
@@ -50,20 +65,35 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return df.withColumn("v", v).where(ok).select(F.col(vec_id).cast("long").alias("vec_id"), "v")
 
 
-def augmented(nodes: DataFrame, longest: float) -> DataFrame:
+def points_of(nodes: DataFrame, longest: float) -> DataFrame:
     """node, x, len: the vector's direction as float32 bytes, and its length as a share of the greatest."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
-            x, length = directions(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(length / np.sqrt(longest))], names=["node", "x", "len"])
+            x, length = directions(stack(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(length / longest)], names=["node", "x", "len"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, x binary, len double")
 
 
+def stack(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def longest_of(nodes: DataFrame) -> float:
+    """The greatest length of a vector."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([float(directions(stack(batch.column(0)))[1].max())])], names=["len"])
+
+    return nodes.select("v").mapInArrow(run, "len double").agg(F.max("len")).first()[0]
+
+
 def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row its direction (float32) and length; scaled first, so that no square is lost."""
     top = np.abs(v).max(axis=1, keepdims=True)
@@ -147,14 +177,72 @@ def local_join(meeting: DataFrame, points: DataFrame, s: Settings) -> DataFrame:
     return sent.mapInArrow(run, "u long, n long, d double")
 
 
+def curve_places(x: np.ndarray, table: int, dims: int = 16, bits: int = 3) -> np.ndarray:
+    """Keys of directions on a Z-order curve through `dims` random projections, others for each table."""
+    axes = np.random.default_rng(table).standard_normal((x.shape[1], dims))
+    at = x @ (axes / np.linalg.norm(axes, axis=0)) * math.sqrt(x.shape[1])
+    cell = ((0.5 + 0.5 * np.tanh(0.8 * at)) * (1 << bits)).clip(0, (1 << bits) - 1).astype(np.int64)
+    key = np.zeros(len(x), np.int64)
+    for b in range(bits - 1, -1, -1):
+        for j in range(dims):
+            key = key << 1 | (cell[:, j] >> b & 1)
+    return key
+
+
+def first_links(points: DataFrame, s: Settings) -> DataFrame:
+    """u, n, d: for each node the best among those next to it in the order of a table's keys."""
+    keep = max(4, math.ceil(1.5 * s.degree / s.tables))
+
+    def key(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                for t in range(s.tables):
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(curve_places(x, t)), *batch.columns], names=["t", "key", "node", "x", "len"])
+
+    def compare(batches):
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= 16 * s.window:
+                whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                # the last window waits for what may be a short rest
+                cut = (whole.num_rows // s.window - 1) * s.window
+                yield from windows(whole.slice(0, cut))
+                waiting = [whole.slice(cut)]
+        if waiting:
+            yield from windows(pa.Table.from_batches(waiting).combine_chunks())
+
+    def windows(part):
+        n = part.num_rows
+        cuts = list(range(0, n, s.window)) + [n]
+        if len(cuts) > 2 and n - cuts[-2] < s.window // 2:
+            del cuts[-2]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a < 2:
+                continue
+            rows = part.slice(a, b - a)
+            rows = rows.combine_chunks().to_batches()[0] if isinstance(rows, pa.Table) else rows
+            ids, x, length = rows.column(0).to_numpy(), matrix(rows.column(1)), rows.column(2).to_numpy()
+            d = distances(x, length)
+            d[ids[:, None] == ids[None]] = np.inf
+            few = min(keep, len(ids) - 1)
+            near = np.argpartition(d, few - 1, axis=1)[:, :few]
+            u, n_, d_ = np.repeat(ids, few), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()
+            ok = np.isfinite(d_)
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(n_[ok]), pa.array(d_[ok])], names=["u", "n", "d"])
+
+    placed = points.select("node", "x", "len").mapInArrow(key, "t int, key long, node long, x binary, len double")
+    dealt = placed.repartitionByRange(2 * partitions(points.sparkSession), "t", "key", "node").sortWithinPartitions("t", "key", "node")
+    return dealt.select("node", "x", "len").mapInArrow(compare, "u long, n long, d double")
+
+
 def neighbour_graph(points: DataFrame, count: int, folder: str, s: Settings) -> DataFrame:
     """u, n, d: each node's nearest found, `degree` of them. Nodes are numbered 0 .. count - 1."""
-    spark = points.sparkSession
-    ids = points.select(F.col("node").alias("u"))
     k = min(s.degree, count - 1)
-    # as random neighbours begin, any distance is an improvement
-    begin = ids.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k)))).select("u", F.pmod(F.col("u") + 1 + F.pmod(F.xxhash64("u", "i"), F.lit(count - 1)), F.lit(count)).alias("n")).where("u <> n").distinct()
-    graph = stage(_drawn(begin.select("u", "n", F.lit(1e30).alias("d"), F.lit(True).alias("new")), 1, s), f"{folder}/graph-0")
+    w = Window.partitionBy("u").orderBy("d", "n")
+    begin = first_links(points, s).groupBy("u", "n").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    graph = stage(_drawn(begin.withColumn("new", F.lit(True)), 1, s), f"{folder}/graph-0")
     # ends by itself: a link comes only in place of a longer one
     for r in count_from(1):
         far = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(1e30)).alias("far"))
@@ -165,12 +253,11 @@ def neighbour_graph(points: DataFrame, count: int, folder: str, s: Settings) ->
         found = local_join(meeting, points, s)
         # a link that didn't go stays new
         old = graph.select("u", "n", "d", (F.col("new") & ~F.col("go")).alias("new"))
-        # rank by distance; a pair that was there keeps its age, and random ones go first
+        # rank by distance; a pair that was there keeps its age
         every = old.union(found.select("u", "n", "d", F.lit(True).alias("new"))).groupBy("u", "n").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-        w = Window.partitionBy("u").orderBy("d", "n")
         ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
         graph = stage(_drawn(ranked, r + 1, s), f"{folder}/graph-{r}")
-        delete(spark, f"{folder}/graph-{r - 1}")
+        delete(points.sparkSession, f"{folder}/graph-{r - 1}")
         if graph.where("new").count() < s.stop * k * count:
             return graph
 
@@ -192,119 +279,224 @@ def _few(back: DataFrame, r: int, s: Settings) -> DataFrame:
     return back.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.sample).drop("rank")
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, points: DataFrame, folder: str, s: Settings, entries: DataFrame) -> DataFrame:
-    """q, n, d: the beam of each query. queries: q, y (the direction as float32 bytes);
-    entries: q, n, the nodes at which a query begins."""
-    spark = queries.sparkSession
-    out = graph.select(F.col("u").alias("from"), "n").union(graph.select(F.col("n").alias("from"), F.col("u").alias("n"))).distinct()
-    out = stage(_capped(out, 3 * s.degree), f"{folder}/links")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = matrix(batch.column(2)), matrix(batch.column(4))
-                    # nearer is a larger inner product, as the query's extra coordinate is 0
-                    d = -(x * y).sum(axis=1) * batch.column(3).to_numpy()
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "n", "d"])
-
-        return pairs.join(points.withColumnRenamed("node", "n"), "n").join(queries, "q").select("q", "n", "x", "len", "y").mapInArrow(run, "q long, n long, d double")
-
-    w = Window.partitionBy("q").orderBy("d", "n")
-    rank = F.row_number().over(w)
-    beam = stage(measured(entries.distinct()).select("q", "n", "d", F.lit(False).alias("seen")).withColumn("rank", rank).where(F.col("rank") <= s.beam).drop("rank"), f"{folder}/beam-0")
-    # ends by itself: what leaves the beam doesn't come back
-    for k in count_from(1):
-        front = beam.where("NOT seen").withColumn("rank", rank).where(F.col("rank") <= s.expand).select("q", F.col("n").alias("from"))
-        looked = front.select("q", F.col("from").alias("n"), F.lit(True).alias("now"))
-        near = front.join(out, "from").select("q", "n").distinct().join(beam.select("q", "n"), ["q", "n"], "left_anti")
-        old = beam.join(looked, ["q", "n"], "left").select("q", "n", "d", F.coalesce("now", "seen").alias("seen"))
-        grown = old.union(measured(near).select("q", "n", "d", F.lit(False).alias("seen")))
-        nxt = stage(grown.withColumn("rank", rank).where(F.col("rank") <= s.beam).drop("rank"), f"{folder}/beam-{k}")
-        delete(spark, f"{folder}/beam-{k - 1}")
-        beam = nxt
-        if not beam.where("NOT seen").limit(1).count():
-            return beam.select("q", "n", "d")
-
-
-def _capped(links: DataFrame, most: int) -> DataFrame:
-    """A hub's reverse links beyond `most` go (chosen by a hash): the other ends keep theirs."""
-    w = Window.partitionBy("from").orderBy(F.xxhash64("from", "n"))
-    return links.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+#: Nodes of a graph file, and bytes of files that a worker holds where the store can't map them.
+RANGE, HELD = 1 << 14, 256 << 20
+
+
+def write_graph(graph: DataFrame, nodes: DataFrame, folder: str, s: Settings, kind: str) -> str:
+    """Writes files of RANGE nodes each: every node's vector (numbers of `kind`), its own links, and
+    `back` of those that lead to it (the nearest; their other ends keep theirs). Returns the folder."""
+    spark = nodes.sparkSession
+    w = Window.partitionBy("from").orderBy("d", "n")
+    back = graph.select(F.col("n").alias("from"), F.col("u").alias("n"), "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.back).select("from", "n")
+    links = graph.select(F.col("u").alias("from"), "n").union(back).distinct().groupBy("from").agg(F.sort_array(F.collect_list("n")).alias("links"))
+    rows = nodes.select("node", "v").join(links, F.col("node") == F.col("from"), "left").select(F.shiftright("node", RANGE.bit_length() - 1).alias("range"), "node", "v", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    root = to_uri(folder)
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        at, parts = None, []
+
+        def flush():
+            n = sum(p.num_rows for p in parts)
+            data = np.concatenate([stack(p.column(2)) for p in parts]).astype(kind)
+            sizes = np.concatenate([[0], *(np.diff(p.column(3).offsets.to_numpy()) for p in parts)])
+            flat = np.concatenate([p.column(3).flatten().to_numpy() for p in parts]).astype("<i8")
+            own = posixpath.join(base, f"_{at:08d}.{os.getpid()}.{os.urandom(4).hex()}")
+            with store.open_output_stream(own) as out:
+                out.write(struct.pack("<4sIQQ8x", b"NNG1", data.shape[1], n, len(flat)))
+                for x in (np.cumsum(sizes).astype("<i8"), flat, data):
+                    out.write(x.tobytes())
+            publish(store, own, posixpath.join(base, f"{at:08d}.nng"))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n], pa.int64())], names=["range", "n"])
+
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if parts and of[a] != at:
+                    yield flush()
+                    parts = []
+                at = int(of[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield flush()
+
+    dealt = rows.repartition(partitions(spark), "range").sortWithinPartitions("range", "node")
+    stage(dealt.mapInArrow(run, "range long, n long"), f"{folder}-files")
+    return root
+
+
+class Graph:
+    """A worker's view of the files of write_graph()."""
+
+    def __init__(self, root: str, kind: str):
+        from pyarrow import fs as pafs
+
+        self.kind, self.held, self.size = np.dtype(kind), OrderedDict(), 0
+        self.store, self.base = pafs.FileSystem.from_uri(root)
+        self.mapped = isinstance(self.store, pafs.LocalFileSystem)
+
+    def _range(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a range: where each node's links begin and end, all links, the vectors."""
+        if k in self.held:
+            self.held.move_to_end(k)
+            return self.held[k]
+        path = posixpath.join(self.base, f"{k:08d}.nng")
+        if self.mapped:
+            data = pa.memory_map(path).read_buffer()
+        else:
+            with self.store.open_input_file(path) as f:
+                data = f.read_buffer()
+            self.size += data.size
+        _, width, n, m = struct.unpack_from("<4sIQQ", data)
+        starts = np.frombuffer(data, "<i8", n + 1, 32)
+        links = np.frombuffer(data, "<i8", m, 32 + starts.nbytes)
+        self.held[k] = starts, links, np.frombuffer(data, self.kind, n * width, 32 + starts.nbytes + links.nbytes).reshape(n, width)
+        while self.size > HELD and len(self.held) > 1:
+            self.size -= sum(x.nbytes for x in self.held.popitem(last=False)[1])
+        return self.held[k]
+
+    def _by_range(self, ids: np.ndarray):
+        """Places of ascending ids by range, and the range's data."""
+        of = ids // RANGE
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield a, b, ids[a:b] - of[a] * RANGE, self._range(int(of[a]))
+
+    def links(self, ids: np.ndarray) -> list[np.ndarray]:
+        """The links of each of ascending ids."""
+        return [links[starts[i] : starts[i + 1]] for _, _, own, (starts, links, _) in self._by_range(ids) for i in own.tolist()]
+
+    def products(self, n: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Inner products of the vectors of nodes n and the rows `of` of y, in double precision."""
+        out, order = np.empty(len(n)), np.argsort(n, kind="stable")
+        step = max(1, (8 << 20) // (8 * y.shape[1]))
+        for a, b, own, (_, _, x) in self._by_range(n[order]):
+            for k in range(a, b, step):
+                at = order[k : min(b, k + step)]
+                out[at] = np.einsum("nd,nd->n", x[own[k - a : k - a + len(at)]].astype(np.float64), y[of[at]])
+        return out
+
+
+def walk(graph: Graph, y: np.ndarray, own: np.ndarray, entries: np.ndarray, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The beam of each query, best first: nodes and inner products. y: the queries' vectors, own: their
+    nodes, entries: a row of further nodes to begin at for each. Ends by itself: no node is met twice."""
+    size = len(own)
+    met = [np.unique(np.append(e, o)) for e, o in zip(entries, own.tolist(), strict=True)]
+    n, score, seen = [np.zeros(0, np.int64)] * size, [np.zeros(0)] * size, [np.zeros(0, bool)] * size
+    found: list[tuple[int, np.ndarray]] = list(enumerate(met))
+    while found:
+        of = np.repeat([i for i, _ in found], [len(c) for _, c in found])
+        scores = graph.products(np.concatenate([c for _, c in found]), of, y)
+        at, fronts = 0, []
+        for i, c in found:
+            both, marks = np.concatenate([n[i], c]), np.concatenate([seen[i], np.zeros(len(c), bool)])
+            value = np.concatenate([score[i], scores[at : at + len(c)]])
+            at += len(c)
+            best = np.lexsort((both, -value))[: s.beam]
+            n[i], score[i], seen[i] = both[best], value[best], marks[best]
+            front = np.flatnonzero(~seen[i])[: s.expand]
+            if len(front):
+                seen[i][front] = True
+                fronts.append((i, n[i][front]))
+        found = []
+        if fronts:
+            nodes = np.unique(np.concatenate([f for _, f in fronts]))
+            links = graph.links(nodes)
+            for i, f in fronts:
+                new = np.unique(np.concatenate([links[k] for k in np.searchsorted(nodes, f).tolist()]))
+                place = np.searchsorted(met[i], new)
+                new = new[met[i][np.minimum(place, len(met[i]) - 1)] != new]
+                met[i] = np.sort(np.concatenate([met[i], new]), kind="stable")
+                found.append((i, new))
+    return list(zip(n, score, strict=True))
+
+
+def greedy_search(asked: DataFrame, root: str, kind: str, count: int, s: Settings, best: int) -> DataFrame:
+    """q, n, score: the `best` first of each query's beam. asked: q (a node), v (its vector)."""
+
+    def run(batches):
+        graph = Graph(root, kind)
+        for batch in batches:
+            for k in range(0, batch.num_rows, s.block):
+                part = batch.slice(k, s.block)
+                own = part.column(0).to_numpy()
+                # a query begins at its own node and a few nodes anywhere
+                entries = np.stack([np.random.default_rng(q).integers(0, count, 8) for q in own.tolist()])
+                got = [(n[:best], x[:best]) for n, x in walk(graph, stack(part.column(1)), own, entries, s)]
+                q = np.repeat(own, [len(n) for n, _ in got])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([n for n, _ in got])), pa.array(np.concatenate([x for _, x in got]))], names=["q", "n", "score"])
+
+    return asked.select("q", "v").mapInArrow(run, "q long, n long, score double")
 
 
 def search(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k found nearest to each query by inner product, the query's own
     row left out; ties go to the smaller vec_id. queries: the condition that makes a row a query.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
-    ids; all others must have one length. The scores are of the original vectors in double precision.
-    With too few candidates all come; without any the result is empty. Rows with the same vec_id and
-    vector count as they come.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids;
+    nor, where vectors have different numbers of components, those that haven't the most common one (the
+    greatest of equally common ones). With too few candidates all come; without any the result is empty.
+    Rows with the same vec_id are candidates each by itself, and queries each by itself; such a query
+    has no row of its vec_id among its results.
     """
-    s = settings or Settings()
     spark = df.sparkSession
     folder = work_dir(spark) + "/ann"
-    rows = stage(usable(df, vec_id, vector), f"{folder}/rows")
-    # equal vectors are one node; of its rows only the k + 1 smallest ids can be in a result
-    groups = rows.groupBy("v").agg(F.min("vec_id").alias("first"))
-    nodes = stage(_numbered(groups), f"{folder}/nodes")
-    count = nodes.count()
-    if count == 0:
+    kind = "<f4" if df.schema[vector].dataType.elementType == T.FloatType() else "<f8"
+    rows = stage(usable(df, vec_id, vector), f"{folder}/all")
+    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+    if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    longest = nodes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    points = stage(augmented(nodes, longest), f"{folder}/points")
-    asked = stage(rows.where(queries).join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), "node"), f"{folder}/asked")
-    q = asked.select(F.col("node").alias("q")).distinct()
-    if count <= s.beam:  # the beam holds all nodes
-        found = q.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    else:
+    rows = rows.where(F.size("v") == width.w)
+    # equal vectors are one node
+    nodes = stage(_numbered(rows.select("v").distinct(), folder), f"{folder}/nodes")
+    count = nodes.count()
+    s = (settings or Settings()).among(count)
+    asked = stage(rows.where(queries).join(nodes, "v").select(F.col("vec_id").alias("query_id"), "node"), f"{folder}/asked")
+    if count > 1:
+        points = stage(points_of(nodes, longest_of(nodes)), f"{folder}/points")
         graph = neighbour_graph(points, count, folder, s)
-        # a query begins at its own node, its neighbours, and a few nodes anywhere
-        anywhere = q.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("q", F.pmod(F.xxhash64("q", "i"), F.lit(count)).alias("n"))
-        own = graph.join(q, graph.u == q.q, "left_semi").select(F.col("u").alias("q"), "n")
-        entries = own.union(q.select("q", F.col("q").alias("n"))).union(anywhere)
-        found = greedy_search(_query_vectors(q, nodes), graph, points, folder, s.among(count), entries).select("q", "n")
-    return _exact(asked, found, rows, nodes, k)
-
-
-def _numbered(groups: DataFrame) -> DataFrame:
-    """node numbers 0 .. n - 1 in some order: a partition's first number is the sum of those before."""
-    spark = groups.sparkSession
-    parts = stage(groups.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), work_dir(spark) + "/parts")
+    else:
+        graph = spark.createDataFrame([], "u long, n long, d double")
+    root = write_graph(graph, nodes, f"{folder}/files", s, kind)
+    q = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("q"), "v").repartition(2 * partitions(spark), "q")
+    found = stage(greedy_search(q, root, kind, count, s, 3 * k), f"{folder}/found")
+    return _rows(asked, found, rows, nodes, k)
+
+
+def _numbered(vectors: DataFrame, folder: str) -> DataFrame:
+    """node, v: numbers 0 .. n - 1 in some order; a partition's first number is the sum of those before."""
+    spark = vectors.sparkSession
+    parts = stage(vectors.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), f"{folder}/parts")
     total, starts = 0, []
     for part, n in sorted(tuple(r) for r in parts.groupBy("part").count().collect()):  # a row per partition
         starts.append((part, total))
         total += n
     at = spark.createDataFrame(starts, "part int, start long")
-    return parts.join(F.broadcast(at), "part").select((F.col("start") + F.col("i")).alias("node"), "v", "first")
-
-
-def _query_vectors(q: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, y: the vectors' directions. A query's length doesn't change its order."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                v = np.stack([np.asarray(x) for x in batch.column(1).to_numpy(zero_copy_only=False)])
-                y, _ = directions(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in y], pa.binary())], names=["q", "y"])
-
-    return nodes.join(q, nodes.node == q.q, "left_semi").select("node", "v").mapInArrow(run, "q long, y binary")
+    return parts.join(F.broadcast(at), "part").select((F.col("start") + F.col("i")).alias("node"), "v")
 
 
-def _exact(asked: DataFrame, found: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Scores of the found nodes' rows on the original vectors, cut to the k best of each query."""
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    vectors = nodes.select("node", "v")
-    scored = found.join(vectors, found.n == vectors.node).select("q", "n", "v").join(nodes.select(F.col("node").alias("q"), F.col("v").alias("w")), "q").select("q", "n", dot.alias("score"))
-    few = Window.partitionBy("node").orderBy("vec_id")
-    first = rows.join(vectors, "v").select("node", "vec_id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select("node", "vec_id")
-    pairs = asked.join(scored, asked.node == scored.q).select("query_id", "n", "score").join(first, F.col("n") == first.node).where("vec_id <> query_id").select("query_id", "vec_id", "score")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def _rows(asked: DataFrame, found: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, from the nodes found."""
+    # of a node's rows only the k + 1 smallest ids can be in a result: a partition sends no more
+    few = Window.partitionBy("v").orderBy("vec_id")
+    first = rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).join(nodes, "v").select("node", "vec_id")
+    # and of what a vector finds, only the k + 1 best rows in that of its query rows
+    order = [F.desc("score"), "vec_id"]
+    best = found.join(first, F.col("n") == F.col("node")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
+    pairs = asked.withColumn("row", F.monotonically_increasing_id()).join(best, F.col("node") == F.col("q")).where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(*order))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by 20, the 20 nearest found among all rows."""
     vectors = keyed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), vec_id="vec_id", embedding="embedding")
     return search(vectors, F.col("vec_id") % 20 == 0)
