@@ -31,11 +31,12 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 1.0) -> Trees:
-    """Second-order boosting. y: 0 or 1."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 1.0, share: float = 1.0, seed: int = 3) -> Trees:
+    """Second-order boosting. y: 0 or 1. share: of the rows, drawn anew for each tree."""
     n, width = x.shape
+    rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1]).astype(np.float32)) for k in range(width)]
-    binned = np.stack([np.searchsorted(cuts[k], x[:, k].astype(np.float32), side="left") for k in range(width)], axis=1)
+    binned = np.stack([np.searchsorted(cuts[k], x[:, k].astype(np.float32), side="left") for k in range(width)]).astype(np.int16)
     mean = float(y.mean())
     start = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
     score = np.full(n, start)
@@ -46,17 +47,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
         g, h = y - p, p * (1 - p)
         f, t = np.zeros(inner, np.int64), np.full(inner, np.inf, np.float32)
         at = np.zeros(n, np.int64)
+        drawn = np.flatnonzero(rng.random(n) < share) if share < 1 else np.arange(n)
+        some, gd, hd = binned[:, drawn], g[drawn], h[drawn]
         for level in range(depth):
             first, m = 2**level - 1, 2**level
             best = np.full(m, 1e-9)
-            own = at - first
+            w = bins + 1
+            own = (at[drawn] - first) * w
             for k in range(width):
                 if not len(cuts[k]):
                     continue
-                w = bins + 1
-                key = own * w + binned[:, k]
-                gs = np.bincount(key, g, m * w).reshape(m, w).cumsum(axis=1)
-                hs = np.bincount(key, h, m * w).reshape(m, w).cumsum(axis=1)
+                key = own + some[k]
+                gs = np.bincount(key, gd, m * w).reshape(m, w).cumsum(axis=1)
+                hs = np.bincount(key, hd, m * w).reshape(m, w).cumsum(axis=1)
                 gt, ht = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + least) + (gt - gs) ** 2 / (ht - hs + least) - gt**2 / (ht + least)
                 gain = gain[:, : len(cuts[k])]
