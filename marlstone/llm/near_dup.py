@@ -7,12 +7,14 @@ probability below 1e-6. The symbols are cut into chunks, so that of two signatur
 some chunk has few errors (pigeonhole); for each chunk every choice of that many symbols is left out in
 turn and the rest is a key. So all pairs within the distance meet in a key, without exception.
 
-Not all pairs of a key's members are compared: what is asked for are the links' components. First,
-each class is compared with the smallest class of each of its keys, and joined to it if they are
-confirmed. Only where a key's members are in more than one component then, they get a second signature
-of `fine` symbols of 8 bits, and are compared with those of other components, in blocks; a pair comes
-from the first key that it shares. What is within the distance by both signatures is confirmed on the
-full sets.
+What is asked for are the links' components, so not all pairs of a key's members are compared. First,
+each class is compared with the smallest class of each of its keys, and joined to the likest if they
+are confirmed. Where a key's members are in several components then, those outside the largest one are
+compared with a few of its members in the same way. Last, in keys that are still in several components,
+every member outside the largest one is compared with every member of another component, in blocks; a
+pair comes from the first key that it shares. So every pair within the distance is looked at, or is in
+one component already. What is within the distance is confirmed on the full sets, unless the sizes of
+the sets rule it out.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, partitions, release, stage, work_dir
+from .common import delete, documents, keyed, partitions, release, stage, work_dir
 from .components import components
 from .segments import cut, slices
 
@@ -49,8 +51,6 @@ class Rule:
     indexed: int = 64
     distance: int = 31
     chunks: int = 16
-    fine: int = 768
-    fine_distance: int = 208
 
     @property
     def errors(self) -> int:
@@ -58,10 +58,13 @@ class Rule:
         return self.distance // self.chunks
 
     def missed(self) -> float:
-        """A bound for the chance that a pair of just the similarity asked for is beyond a distance."""
-        p = 1 - self.percent / 100
-        tail = lambda n, d: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(d + 1, n + 1))
-        return tail(self.indexed, self.distance) + tail(self.fine, self.fine_distance)
+        """A bound for the chance that a pair of just the similarity asked for is beyond the distance."""
+        p, n = 1 - self.percent / 100, self.indexed
+        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(self.distance + 1, n + 1))
+
+    def sizes(self, x, y):
+        """Whether sets of x and y elements can be similar enough."""
+        return (100 * x >= self.percent * y) & (100 * y >= self.percent * x)
 
     def keys(self) -> list[tuple[int, ...]]:
         """The symbols of each key."""
@@ -70,7 +73,7 @@ class Rule:
 
 
 #: The rule of the contract's query. Some chunk of 13 has 1 error at most, up to distance 25.
-CONTRACT = Rule(words=3, percent=85, distance=25, chunks=13, fine_distance=164)
+CONTRACT = Rule(words=3, percent=85, distance=25, chunks=13)
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -105,29 +108,30 @@ def shingle_sets(texts: pa.Array, words: int):
                 yield h[:0]
 
 
-def salts(hashes: int, family: int = 0) -> np.ndarray:
-    return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0] + np.uint64(family << 32))
+def salts(hashes: int) -> np.ndarray:
+    return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0])
+
+
+#: A symbol's type.
+SYMBOL = "<u2"
 
 
-def signature(s: np.ndarray, salt: np.ndarray, kind: str) -> bytes:
+def signature(s: np.ndarray, salt: np.ndarray) -> bytes:
     """A symbol for each hash function, of the element that it puts first. The halves of a 64-bit hash
     are two functions."""
     least = np.full(2 * len(salt), np.uint32(2**32 - 1))
     for k in range(0, len(s), 512):
         np.minimum(least, ((s[k : k + 512, None] ^ salt) * MIX[1]).view(np.uint32).min(axis=0), out=least)
-    return (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(48)).astype(kind).tobytes()
+    return (mix(least.astype(np.uint64) * MIX[0]) >> np.uint64(48)).astype(SYMBOL).tobytes()
 
 
-INDEX, FINE = "<u2", "u1"
-
-
-def symbols(signatures: list[bytes], kind: str) -> np.ndarray:
+def symbols(signatures: list[bytes]) -> np.ndarray:
     """Signatures as rows of symbols."""
-    return np.frombuffer(b"".join(signatures), kind).reshape(len(signatures), -1)
+    return np.frombuffer(b"".join(signatures), SYMBOL).reshape(len(signatures), -1)
 
 
 def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits of the set; null if empty), signature."""
+    """doc_id, text_hash, n_shingles, set_hash (128 bits of the set; null if empty), signature."""
 
     def run(batches):
         import xxhash
@@ -136,13 +140,28 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
         salt = salts(rule.indexed)
         for batch in batches:
             n, h, sig = [], [], []
-            for s in shingle_sets(batch.column(1), rule.words):
+            for s in shingle_sets(batch.column(2), rule.words):
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s, salt, INDEX) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
+                sig.append(signature(s, salt) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_hash", "signature"])
+
+    return keyed(df, doc_id=doc_id, text_hash=F.xxhash64(text), text=text).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, signature binary")
+
+
+def full_sets(df: DataFrame, classes: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
+    """id, elements (the sorted shingle hashes) of the classes, from the text that each has first."""
+
+    def run(batches):
+        release()
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), rule.words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "elements"])
 
-    return keyed(df, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    wanted = classes.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    # a repeated row is one text
+    texts = keyed(df, doc_id=doc_id, text_hash=F.xxhash64(text), text=text).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
 
 
 def key_hashes(sig: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +183,7 @@ def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = symbols(part.column(1).to_pylist(), INDEX).astype(np.uint64)
+                sig = symbols(part.column(1).to_pylist()).astype(np.uint64)
                 ids = part.column(0)
                 for key in key_hashes(sig, kept):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
@@ -173,86 +192,99 @@ def chunk_keys(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """a, b, apart (differing symbols) of the pairs within the distance."""
+    """a, b, apart (differing symbols) of the pairs within the distance whose sizes don't rule them out."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (symbols(batch.column(k).to_pylist(), INDEX) for k in (2, 3))
+                x, y = (symbols(batch.column(k).to_pylist()) for k in (2, 3))
                 apart = (x != y).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(apart <= rule.distance))
 
-    sig = classes.select("id", "signature")
-    both = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    one, other = (classes.select(F.col("id").alias(i), F.col("signature").alias(x), F.col("n_shingles").alias(n)) for i, x, n in (("a", "x", "m"), ("b", "y", "n")))
+    both = pairs.join(one, "a").join(other, "b").where(rule.sizes(F.col("m"), F.col("n"))).select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long, apart long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, rule: Rule, spread: int = 64) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs: id, text.
+def likest(pairs: DataFrame) -> DataFrame:
+    """a, b: of each b the a that is least apart."""
+    return pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule, spread: int = 64) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. sets: id, elements.
 
-    A pair goes to a place by a and a salt from b, with b's text; a's text goes once to each place
-    that it has pairs in. So a class with very many pairs is spread, and a task holds one set of a
-    class and one more at a time.
+    A pair goes to a place by a and a salt from b, with b's set; a's set goes once to each place that it
+    has pairs in. So a class with very many pairs is spread, and a task holds one set of a class and one
+    more at a time.
     """
     placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("salt"))
     anchors = placed.select("a", F.lit(None).cast("long").alias("b"), "salt").distinct()
     sides = placed.select("a", "b", "salt", F.col("b").alias("id")).union(anchors.select("a", "b", "salt", F.col("a").alias("id")))
-    sent = sides.join(docs, "id").select("a", "salt", "b", "text").repartition(4 * partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    sent = sides.join(sets, "id").select("a", "salt", "b", "elements").repartition(4 * partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches):
         release()
         anchor = own = None
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            a, salt, b = (batch.column(i).to_pylist() for i in range(3))
-            for i, s in enumerate(shingle_sets(batch.column(3), rule.words)):
-                if b[i] is None:
-                    anchor, own = (a[i], salt[i]), s
+            for a, salt, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                if b is None:
+                    anchor, own = (a, salt), s
                     continue
-                if anchor != (a[i], salt[i]):
-                    raise RuntimeError("a pair came without its first text")
+                if anchor != (a, salt):
+                    raise RuntimeError("a pair came without its first set")
                 both = len(np.intersect1d(own, s, assume_unique=True))
                 if both and 100 * both >= rule.percent * (len(own) + len(s) - both):
-                    out[0].append(a[i])
-                    out[1].append(b[i])
+                    out[0].append(a)
+                    out[1].append(b)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     return sent.mapInArrow(run, "a long, b long")
 
 
-def fine_signatures(texts: DataFrame, rule: Rule) -> DataFrame:
-    """id, fine of id, text."""
+def mixed_keys(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """key, id, component, center (the key's largest component), n (members), outside (those not in it), of
+    the keys whose members are in several components. label: id, component."""
+    found = shared.select("key", "id").join(label, "id")
+    per = found.groupBy("key", "component").agg(F.count("*").alias("m"))
+    keys = per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x"), F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
+    return found.join(keys.select("key", F.col("x.component").alias("center"), "n", (F.col("n") - F.col("x.m")).alias("outside")), "key")
 
-    def run(batches):
-        salt = salts(rule.fine, 1)
-        for batch in batches:
-            fine = [signature(s, salt, FINE) for s in shingle_sets(batch.column(1), rule.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], names=["id", "fine"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, fine binary")
+def near_center(members: DataFrame, few: int = 8) -> DataFrame:
+    """a, b: members of a key's largest component, a few of them by a hash, and its members outside."""
+    by = Window.partitionBy("key").orderBy(F.xxhash64("a"), "a")
+    some = members.where("component = center").select("key", F.col("id").alias("a")).withColumn("place", F.row_number().over(by)).where(F.col("place") <= few).select("key", "a")
+    return members.where("component <> center").select("key", F.col("id").alias("b")).join(some, "key").select("a", "b").distinct()
 
 
 def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) within the distance of members of one key but of different components.
+    """Pairs (a, b) of members of one key but of different components, within the distance and of fitting sizes.
 
-    members: key, id, component, signature, fine, n (members of the key). A key with more than `block`
-    members is dealt into blocks, and every two blocks (and each with itself) meet in a place of
-    their own, with 2 * block rows or a few more.
+    members: key, id, component, center, n, outside, signature, size. One of a pair is outside the key's
+    largest component. So a key's members, and those outside, are dealt into blocks, and every two blocks
+    of the one and the other meet in a place of their own, with 2 * block rows or a few more.
     """
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    own = F.pmod(F.xxhash64("id"), blocks)
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature", "fine")
-    dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "id")
+    rows, columns = (F.ceil(F.col(c) / block).cast("long") for c in ("n", "outside"))
+    row, column, out = F.pmod(F.xxhash64("id"), rows), F.pmod(F.xxhash64("id", F.lit(1)), columns), F.col("component") != F.col("center")
+    place = lambda i, j, inside, outside: F.struct(i.alias("i"), j.alias("j"), inside.alias("inside"), outside.alias("outside"))
+    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    as_member = F.transform(F.sequence(zero, F.col("columns") - 1), lambda j: place(F.col("row"), j, yes, F.col("out") & (j == F.col("column"))))
+    as_outer = F.transform(F.filter(F.sequence(zero, F.col("rows") - 1), lambda i: F.col("out") & (i != F.col("row"))), lambda i: place(i, F.col("column"), no, yes))
+    dealt = members.select("key", "id", "component", "signature", "size", rows.alias("rows"), columns.alias("columns"), row.alias("row"), column.alias("column"), out.alias("out"))
+    dealt = dealt.withColumn("at", F.explode(F.concat(as_member, as_outer))).select("key", "at.i", "at.j", "at.inside", "at.outside", "id", "component", "size", "signature")
+    dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     kept = [np.array(k) for k in rule.keys()]
     longest = max(map(len, kept))
     places = np.array([[*k, *[k[-1]] * (longest - len(k))] for k in rule.keys()])
 
-    def settle(part: pa.RecordBatch) -> tuple[list, list]:
+    def settle(part: pa.RecordBatch) -> pa.RecordBatch:
         """The pairs of whole places."""
-        key, i, j, own, ids, comp = (part.column(k).to_numpy() for k in range(6))
-        sig, fine = symbols(part.column(6).to_pylist(), INDEX), symbols(part.column(7).to_pylist(), FINE)
+        key, i, j, inside, outside, ids, comp, size = (part.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+        sig = symbols(part.column(8).to_pylist())
         change = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
         turns = (key_hashes(sig[cuts[:-1]].astype(np.uint64), kept).view(np.int64) == key[cuts[:-1]]).argmax(axis=0)
@@ -271,22 +303,16 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
                 ok = same.sum(axis=1) >= rule.indexed - rule.distance
                 p, q, t, same = p[ok], q[ok], t[ok], same[ok]
                 ok = same[:, places].all(axis=2).argmax(axis=1) == t  # the first key that they share
-                p, q = p[ok], q[ok]
-                ok = (fine[p] != fine[q]).sum(axis=1) <= rule.fine_distance
                 p, q = ids[p[ok]], ids[q[ok]]
-                out[0].extend(np.minimum(p, q).tolist())
-                out[1].extend(np.maximum(p, q).tolist())
+                out[0].append(np.minimum(p, q))
+                out[1].append(np.maximum(p, q))
 
         for turn, a, b in zip(turns.tolist(), cuts, cuts[1:], strict=False):
-            if b - a < 2 or (comp[a:b] == comp[a]).all():
-                continue
-            left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(own[a:b] == i[a])
-            right = left if i[a] == j[a] else a + np.flatnonzero(own[a:b] == j[a])
-            for k in range(0, len(left), 128):
-                x, y = (m.ravel() for m in np.meshgrid(left[k : k + 128], right, indexing="ij"))
-                ok = comp[x] != comp[y]
-                if i[a] == j[a]:
-                    ok &= x < y
+            outer, inner = a + np.flatnonzero(outside[a:b]), a + np.flatnonzero(inside[a:b])
+            for k in range(0, len(outer), 128):
+                x, y = (m.ravel() for m in np.meshgrid(outer[k : k + 128], inner, indexing="ij"))
+                # of two members outside the largest component, each is in the other's place too
+                ok = (comp[x] != comp[y]) & rule.sizes(size[x], size[y])
                 xs.append(x[ok])
                 ys.append(y[ok])
                 ts.append(np.full(len(xs[-1]), turn))
@@ -294,7 +320,7 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
                 if waiting > 50_000:
                     judge()
         judge()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -306,58 +332,75 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
             other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0  # the last place may go on
             if cut:
-                yield pair_batch(settle(whole.slice(0, cut)))
+                yield settle(whole.slice(0, cut))
             held = [whole.slice(cut)]
         if held:
-            yield pair_batch(settle(held[0]))
-
-    def pair_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+            yield settle(held[0])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def joined(label: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """label (id, component) after the components of the pairs (a, b) have been joined."""
+    of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    edges = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    onto = components(edges, folder).select(F.col("id").alias("component"), F.col("component").alias("onto"))
+    return stage(label.join(onto, "component", "left").select("id", F.coalesce("onto", "component").alias("component")), f"{folder}/label")
+
+
 def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to), kept (it is that).
 
-    Null and empty texts, and those without words, have no shingles and are linked with nothing; a
-    null doc_id likewise (its component_id is null and it is kept). Repeated rows come back repeated.
-    Of an empty table nothing comes.
+    Null and empty texts, and those without words, have no shingles and are linked with nothing. Every
+    row is a document: rows of one doc_id with different texts are linked by their texts alone, each with
+    a result of its own, and repeated rows come back repeated. A row without a doc_id takes no part, has
+    no component_id and is kept. Of an empty table nothing comes.
     """
     rule = rule or Rule()
     spark = df.sparkSession
     folder = work_dir(spark) + "/near"
     prints = stage(fingerprints(df, rule, doc_id, text), f"{folder}/prints")
     some = prints.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stage(some.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), f"{folder}/classes")
-    texts = keyed(df, id=doc_id, text=text).where("id IS NOT NULL").join(classes.select("id").distinct(), "id", "left_semi")
+    # a class has a number of its own, which the written table fixes
+    grouped = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
     keys = stage(chunk_keys(classes, rule), f"{folder}/keys")
     sizes = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(keys.join(sizes, "key").select("key", "id", "lead", "n"), f"{folder}/shared")
-    stars = stage(within(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), classes, rule), f"{folder}/stars")
-    best = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
-    first = stage(confirm(best, texts, rule), f"{folder}/first")
-    label = components(first, f"{folder}/round-1")
-    found = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = stage(found.join(mixed, "key", "left_semi").select("key", "id", "component", "n"), f"{folder}/members")
-    fine = stage(fine_signatures(texts.join(members.select("id").distinct(), "id", "left_semi"), rule), f"{folder}/fine")
-    members = members.join(classes.select("id", "signature"), "id").join(fine, "id")
+    shared = stage(keys.join(sizes, "key").select("key", "id", "lead"), f"{folder}/shared")
+    delete(spark, f"{folder}/keys")
+    label = stage(shared.select("id").distinct().withColumn("component", F.col("id")), f"{folder}/label-0")
+    sets = stage(full_sets(df, classes.join(label.select("id"), "id", "left_semi"), rule, doc_id, text), f"{folder}/sets")
+    leads = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stage(confirm(likest(within(leads, classes, rule)), sets, rule), f"{folder}/stars")
+    label = joined(label, stars, f"{folder}/round-1")
+    members = mixed_keys(shared, label)
+    more = stage(confirm(likest(within(near_center(members), classes, rule)), sets, rule), f"{folder}/more")
+    label = joined(label, more, f"{folder}/round-2")
+    members = mixed_keys(shared, label).join(classes.select("id", "signature", F.col("n_shingles").alias("size")), "id")
     rest = stage(across(members, rule), f"{folder}/rest")
-    second = stage(confirm(rest, texts, rule), f"{folder}/second")
-    label = components(first.union(second), f"{folder}/round-2")
-    member = classes.join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
-    out = prints.join(member, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    label = joined(label, stage(confirm(rest, sets, rule), f"{folder}/last"), f"{folder}/round-3")
+    member = classes.join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"), "first.doc_id")
+    least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = stage(member.join(least, "component").select("set_hash", "least"), f"{folder}/least")
+    for name in ("shared", "sets", "stars", "more", "rest", "last", "label-0", "classes", "round-1", "round-2", "round-3"):
+        delete(spark, f"{folder}/{name}")
+    out = prints.join(found, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def drop_near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's rows without those of documents that near_duplicates() doesn't keep; columns stay."""
-    gone = near_duplicates(df, rule, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """df's rows without those that near_duplicates() doesn't keep; columns stay.
+
+    Rows of one doc_id go together if all of them are linked to a smaller one, and stay together otherwise.
+    """
+    judged = near_duplicates(df, rule, doc_id, text)
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__gone"))
     return df.join(gone, df[doc_id] == gone["__gone"], "left_anti")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_shingles, component_id and kept of every document, by the rule CONTRACT."""
     return near_duplicates(documents(spark, sf_dir), CONTRACT)
 
 

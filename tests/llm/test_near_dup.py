@@ -82,19 +82,49 @@ def test_dropping(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_blocks_of_a_large_key(spark):
-    """Pairs across components come out whole, whatever the block size."""
+@pytest.mark.parametrize("block", [3, 16, 1000])
+def test_blocks_of_a_large_key(spark, block):
+    """Pairs across components come out whole, each pair once, whatever the block size and the largest component."""
     rule = near_dup.CONTRACT
-    salt, salt2 = near_dup.salts(rule.indexed), near_dup.salts(rule.fine, 1)
+    salt = near_dup.salts(rule.indexed)
     sets = list(near_dup.shingle_sets(pa.array(family(8, 40, 4)), 3))
-    sig = near_dup.symbols(raw := [near_dup.signature(s, salt, near_dup.INDEX) for s in sets], near_dup.INDEX)
-    fine = near_dup.symbols(raw2 := [near_dup.signature(s, salt2, near_dup.FINE) for s in sets], near_dup.FINE)
+    sig = near_dup.symbols(raw := [near_dup.signature(s, salt) for s in sets])
     key = int(near_dup.key_hashes(sig[:1].astype(np.uint64), [np.array(k) for k in rule.keys()])[0, 0].view(np.int64))
     same = [i for i in range(40) if (sig[i] == sig[0])[list(rule.keys()[0])].all()]
-    members = spark.createDataFrame([(key, i, i % 3, bytearray(raw[i]), bytearray(raw2[i]), len(same)) for i in same], "key long, id long, component long, signature binary, fine binary, n long")
-    want = {(a, b) for a, b in combinations(same, 2) if a % 3 != b % 3 and (sig[a] != sig[b]).sum() <= rule.distance and (fine[a] != fine[b]).sum() <= rule.fine_distance}
-    for block in (4, 1000):
-        assert {tuple(r) for r in near_dup.across(members, rule, block).collect()} == want
+    of = {i: 0 if i % 5 < 3 else i % 5 for i in same}
+    size = {i: 100 if i % 7 else 200 for i in same}
+    outside = sum(c > 0 for c in of.values())
+    assert 3 < outside < len(same) / 2
+    members = spark.createDataFrame([(key, i, of[i], 0, len(same), outside, bytearray(raw[i]), size[i]) for i in same], "key long, id long, component long, center long, n long, outside long, signature binary, size long")
+    want = {(a, b) for a, b in combinations(same, 2) if of[a] != of[b] and size[a] == size[b] and (sig[a] != sig[b]).sum() <= rule.distance}
+    got = [tuple(r) for r in near_dup.across(members, rule, block).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_large_group_that_its_first_member_does_not_hold_together(spark):
+    """A chain of edits: most members are far from the smallest one, and some from all that were tried."""
+    rng = random.Random(21)
+    words, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(120):
+        for _ in range(2):
+            words[rng.randrange(150)] = f"e{rng.randint(0, 9999)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, near_dup.near_duplicates(docs, near_dup.CONTRACT).collect())) == brute(list(enumerate(texts)), near_dup.CONTRACT)
+
+
+def test_repeated_and_null_ids(spark):
+    """Every row is a document: two texts of one id are judged each by itself, rows without an id take no part."""
+    a, b, c = family(31, 1, 0)[0], family(32, 1, 0)[0], family(33, 1, 0)[0]
+    rows = [(2, a), (2, b), (1, b), (5, a), (5, a), (None, a), (None, a), (7, c), (7, c), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(shingles(a, 3))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, near_dup.CONTRACT).collect()), key=str)
+    want = [(2, n, 2, True), (2, n, 1, False), (1, n, 1, True), (5, n, 2, False), (5, n, 2, False), (None, n, None, True), (None, n, None, True), (7, n, 7, True), (7, n, 7, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+    left = sorted((tuple(r) for r in near_dup.drop_near_duplicates(docs, near_dup.CONTRACT).collect()), key=str)
+    assert left == sorted((r for r in rows if r[0] != 5), key=str)
 
 
 def test_components(spark, tmp_path):
