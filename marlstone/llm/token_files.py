@@ -1,9 +1,12 @@
 """Token ids in files: one wavelet matrix per file, read back as it was written.
 
 A file holds the ids of a run of documents in order. Bit plane k has bit k (from the highest) of
-every id; before each next plane the ids are stably sorted by the bits so far, zeros first. With the
-number of ones before each 512th position, an id is found by one rank per plane, an id's occurrences
-up to a position by two, and its n-th occurrence by going back up with select.
+every id; before each next plane the ids are stably sorted by the bits so far, zeros first. A plane is
+cut into blocks of 64 Ki positions; a block holds its bits and, for every 512th position, the ones
+before it in the block, and is compressed by itself. The header's directory has each block's place in
+the file and the ones before it in the plane. So an id is found by one rank per plane, and a rank reads
+one block; an id's occurrences up to a position take two ranks per plane, and its n-th occurrence goes
+back up with select, a block per plane again.
 """
 
 from __future__ import annotations
@@ -12,31 +15,76 @@ import json
 import posixpath
 import struct
 from array import array
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, held, keyed, partitions, stage, to_uri, work_dir
 from .segments import REMEMBERED, WHITE_SPACE_RE2, TextEncoder
 
-MAGIC = b"MWM1"
-BLOCK = 512
+MAGIC = b"MWM2"
+#: Positions of a block and of its parts whose ranks are stored.
+BLOCK, PART = 1 << 16, 512
 #: Ids that are sorted at a time: they stay in a processor's cache.
 STEP = 1 << 15
 
 
+class Plane:
+    """A bit plane in blocks. before: ones before each block, and in all; get(b): block b's ranks and bits."""
+
+    def __init__(self, n: int, before: np.ndarray, get: Callable[[int], tuple[np.ndarray, np.ndarray]]):
+        self.n, self.before, self.get = n, before, get
+
+    @classmethod
+    def of(cls, bits: np.ndarray, n: int) -> Plane:
+        """From packed bits, lowest first."""
+        blocks = -(-n // BLOCK)
+        all_bits = np.zeros((blocks, BLOCK // 8), np.uint8)
+        all_bits.ravel()[: len(bits)] = bits
+        per = np.bitwise_count(all_bits.view(np.uint64)).reshape(blocks, BLOCK // PART, PART // 64).sum(axis=2, dtype=np.int64)
+        ranks = (np.cumsum(per, axis=1) - per).astype("<u2")
+        before = np.concatenate([[0], np.cumsum(per.sum(axis=1))])
+        return cls(n, before, lambda b: (ranks[b], all_bits[b]))
+
+    def bit(self, i: int) -> int:
+        bits = self.get(i // BLOCK)[1]
+        return int(bits[i % BLOCK // 8]) >> (i % 8) & 1
+
+    def rank(self, i: int) -> int:
+        """Ones among the first i bits."""
+        b, j = divmod(i, BLOCK)
+        if not j:
+            return int(self.before[b])
+        ranks, bits = self.get(b)
+        part = j // PART
+        rest = int(bits[j // 8]) & ((1 << j % 8) - 1) if j % 8 else 0
+        return int(self.before[b]) + int(ranks[part]) + int(np.bitwise_count(bits[part * PART // 8 : j // 8]).sum()) + rest.bit_count()
+
+    def select(self, one: bool, j: int) -> int:
+        """Position of the j-th (from 0) one or zero."""
+        before = self.before if one else np.arange(len(self.before)) * BLOCK - self.before
+        b = int(np.searchsorted(before[:-1], j, side="right")) - 1
+        ranks, bits = self.get(b)
+        ranks = ranks.astype(np.int64) if one else np.arange(len(ranks)) * PART - ranks
+        j -= int(before[b])
+        part = int(np.searchsorted(ranks, j, side="right")) - 1
+        own = np.unpackbits(bits[part * PART // 8 : (part + 1) * PART // 8], bitorder="little")
+        return b * BLOCK + part * PART + int(np.flatnonzero(own == one)[j - int(ranks[part])])
+
+
 class WaveletMatrix:
     """Access, rank, select and count over a sequence of unsigned ids."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self.ones = [None] * self.bits
-        self.zeros = [n - self._rank1(k, n) for k in range(self.bits)]
+        self.zeros = [n - int(p.before[-1]) for p in planes]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -47,7 +95,7 @@ class WaveletMatrix:
         planes = []
         for k in range(bits - 1, -1, -1):
             b = (ids & ids.dtype.type(1 << k)).astype(bool)
-            planes.append(np.packbits(b, bitorder="little"))
+            planes.append(Plane.of(np.packbits(b, bitorder="little"), len(ids)))
             zero, one = 0, len(ids) - int(np.count_nonzero(b))
             out = np.empty_like(ids)
             for i in range(0, len(ids), STEP):
@@ -59,37 +107,11 @@ class WaveletMatrix:
             ids = out
         return cls(len(ids), planes)
 
-    def _blocks(self, k: int) -> np.ndarray:
-        """Ones before each block of plane k."""
-        if self.ones[k] is None:
-            per = np.bitwise_count(self.planes[k]).astype(np.int64)
-            pad = np.zeros(-len(per) % (BLOCK // 8), np.int64)
-            sums = np.concatenate([per, pad]).reshape(-1, BLOCK // 8).sum(axis=1)
-            self.ones[k] = np.concatenate([[0], np.cumsum(sums)])
-        return self.ones[k]
-
-    def _rank1(self, k: int, i: int) -> int:
-        """Ones among the first i bits of plane k."""
-        blocks, p = self._blocks(k), self.planes[k]
-        at = i // BLOCK
-        full = p[at * (BLOCK // 8) : i // 8]
-        rest = int(p[i // 8]) & ((1 << (i % 8)) - 1) if i % 8 else 0
-        return int(blocks[at]) + int(np.bitwise_count(full).sum()) + rest.bit_count()
-
-    def _select(self, k: int, one: bool, j: int) -> int:
-        """Position of the j-th (from 0) one or zero of plane k."""
-        blocks = self._blocks(k)
-        before = blocks if one else np.arange(len(blocks)) * BLOCK - blocks
-        at = int(np.searchsorted(before, j, side="right")) - 1
-        bits = np.unpackbits(self.planes[k][at * (BLOCK // 8) : (at + 1) * (BLOCK // 8)], bitorder="little")[: self.n - at * BLOCK]
-        return at * BLOCK + int(np.flatnonzero(bits == one)[j - int(before[at])])
-
     def access(self, i: int) -> int:
         """The id at position i."""
         value = 0
         for k, p in enumerate(self.planes):
-            bit = int(p[i // 8]) >> (i % 8) & 1
-            r = self._rank1(k, i)
+            bit, r = p.bit(i), p.rank(i)
             i = self.zeros[k] + r if bit else i - r
             value = value << 1 | bit
         return value
@@ -99,8 +121,8 @@ class WaveletMatrix:
         if value >> self.bits:
             return 0
         lo = 0
-        for k in range(self.bits):
-            a, b = self._rank1(k, lo), self._rank1(k, i)
+        for k, p in enumerate(self.planes):
+            a, b = p.rank(lo), p.rank(i)
             lo, i = (self.zeros[k] + a, self.zeros[k] + b) if value >> (self.bits - 1 - k) & 1 else (lo - a, i - b)
         return i - lo
 
@@ -112,13 +134,13 @@ class WaveletMatrix:
         if not 0 <= j < self.count(value):
             raise IndexError(j)
         lo = 0
-        for k in range(self.bits):
-            a = self._rank1(k, lo)
+        for k, p in enumerate(self.planes):
+            a = p.rank(lo)
             lo = self.zeros[k] + a if value >> (self.bits - 1 - k) & 1 else lo - a
         at = lo + j
         for k in range(self.bits - 1, -1, -1):
             one = value >> (self.bits - 1 - k) & 1
-            at = self._select(k, bool(one), at - self.zeros[k] if one else at)
+            at = self.planes[k].select(bool(one), at - self.zeros[k] if one else at)
         return at
 
     def all(self) -> np.ndarray:
@@ -128,7 +150,9 @@ class WaveletMatrix:
             up, bit = np.empty_like(out), out.dtype.type(1 << (self.bits - 1 - k))
             zero, one = 0, self.zeros[k]
             for i in range(0, self.n, STEP):
-                b = np.unpackbits(self.planes[k][i // 8 : (i + STEP) // 8], count=min(STEP, self.n - i), bitorder="little").view(bool)
+                if i % BLOCK == 0:
+                    bits = self.planes[k].get(i // BLOCK)[1]
+                b = np.unpackbits(bits[i % BLOCK // 8 : (i % BLOCK + STEP) // 8], count=min(STEP, self.n - i), bitorder="little").view(bool)
                 ones, zeros, part = np.flatnonzero(b), np.flatnonzero(~b), up[i : i + STEP]
                 part[zeros] = out[zero : zero + len(zeros)]
                 part[ones] = out[one : one + len(ones)] | bit
@@ -138,31 +162,57 @@ class WaveletMatrix:
 
 
 def dump(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A file's bytes: magic, length of the header, JSON header, then zstd sections: doc_id and
-    length of each document (int64), and each bit plane."""
+    """A file's bytes: magic, length of the header, JSON header, then zstd sections: doc_id and length of
+    each document (int64), the directory (ends of all blocks after it, and of each plane the ones before
+    each block), and the planes' blocks, each its ranks (uint16) and bits."""
     matrix = WaveletMatrix.build(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
+    blocks = []
+    for p in matrix.planes:
+        for b in range(len(p.before) - 1):
+            ranks, bits = p.get(b)
+            blocks.append(pack(ranks.tobytes() + bits.tobytes()))
+    ends = np.cumsum([len(b) for b in blocks], dtype="<i8")
+    directory = b"".join([ends.tobytes(), *(p.before.astype("<i8").tobytes() for p in matrix.planes)])
     null = [i for i, d in enumerate(doc_ids) if d is None]
-    sections = [pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), pack(np.array(lengths, "<i8").tobytes()), *(pack(p.tobytes()) for p in matrix.planes)]
+    sections = [pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), pack(np.array(lengths, "<i8").tobytes()), pack(directory)]
     header = json.dumps({"docs": len(doc_ids), "ids": matrix.n, "bits": matrix.bits, "null": null, "sections": [len(s) for s in sections]}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections, *blocks])
 
 
 class TokenFile:
-    """A file that dump() has made; planes are unpacked when they are first needed."""
+    """A file that dump() has made, or a part of one at a time: read(start, size) gives its bytes.
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    Only the header, the directory and the blocks that are asked for are read; the last `kept` of these
+    stay unpacked. reads: how many have been read.
+    """
+
+    def __init__(self, source: bytes | Callable[[int, int], bytes], kept: int = 64):
+        read = source if callable(source) else (lambda start, size: source[start : start + size])
+        head = read(0, 8)
+        if head[:4] != MAGIC:
             raise ValueError("not a token file")
-        size = struct.unpack("<I", data[4:8])[0]
-        head = json.loads(data[8 : 8 + size])
-        ends = (8 + size + np.cumsum([0, *head["sections"]])).tolist()
+        size = struct.unpack("<I", head[4:8])[0]
+        head = json.loads(read(8, size))
+        at = (8 + size + np.cumsum([0, *head["sections"]])).tolist()
         unpack = zstandard.ZstdDecompressor().decompress
-        part = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        ids, lengths, directory = (unpack(read(a, b - a)) for a, b in zip(at, at[1:], strict=False))
         null = set(head["null"])
-        self.doc_ids = [None if i in null else int(d) for i, d in enumerate(np.frombuffer(unpack(part[0]), "<i8"))]
-        self.lengths = np.frombuffer(unpack(part[1]), "<i8")
-        self.matrix = WaveletMatrix(head["ids"], [np.frombuffer(unpack(p), np.uint8) for p in part[2:]])
+        self.doc_ids = [None if i in null else int(d) for i, d in enumerate(np.frombuffer(ids, "<i8"))]
+        self.lengths, self.reads = np.frombuffer(lengths, "<i8"), 0
+        n, planes = head["ids"], head["bits"]
+        per = -(-n // BLOCK)
+        ends = np.frombuffer(directory, "<i8", planes * per)
+        before = np.frombuffer(directory, "<i8", planes * (per + 1), ends.nbytes).reshape(planes, per + 1)
+
+        @lru_cache(maxsize=kept)
+        def block(k: int) -> tuple[np.ndarray, np.ndarray]:
+            self.reads += 1
+            start = int(ends[k - 1]) if k else 0
+            data = unpack(read(at[-1] + start, int(ends[k]) - start))
+            return np.frombuffer(data, "<u2", BLOCK // PART), np.frombuffer(data, np.uint8, offset=2 * (BLOCK // PART))
+
+        self.matrix = WaveletMatrix(n, [Plane(n, before[k], lambda b, k=k: block(k * per + b)) for k in range(planes)])
 
 
 def worker_encoder(path: str, remembered: int) -> TextEncoder:
@@ -244,13 +294,11 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
         def flush():
             if not state["docs"]:
                 return []
-            name = f"{state['shard']:08d}-{state['part']:06d}.mwm"
+            name = f"{state['shard']:08d}-{state['part']:06d}-{os.urandom(8).hex()}.mwm"
             data = dump(state["docs"], state["lengths"], np.concatenate(state["ids"]))
-            # a task that runs again, or twice at once, writes the same bytes: the move is the commit
-            own = posixpath.join(base, f"_{name}.{os.getpid()}.{os.urandom(4).hex()}")
-            with store.open_output_stream(own) as out:
+            # every attempt writes a file of its own; the manifest, which Spark commits, names those that count
+            with store.open_output_stream(posixpath.join(base, name)) as out:
                 out.write(data)
-            store.move(own, posixpath.join(base, name))
             row = (state["shard"], state["part"], f"{root}/{name}", len(state["docs"]), state["n"])
             state.update(part=state["part"] + 1, docs=[], lengths=[], ids=[], n=0)
             return [row]
@@ -282,38 +330,38 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int |
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The documents of the files: doc_id, start (ids of all documents before it, in all files),
     n_tokens and ids (little-endian uint32)."""
-    files = sorted(manifest.collect())  # a row per file, not per document
-    starts, total = {}, 0
-    for _, _, path, _, n in files:
-        starts[posixpath.basename(path)] = total
-        total += n
-    schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not files:
-        return spark.createDataFrame([], schema)
-    folder = posixpath.dirname(files[0][2])
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.mwm").load(folder).select("path", "content")
+    # a row per file; the sums before each are taken in one pass over these
+    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
 
     def run(batches):
+        from pyarrow import fs as pafs
+
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = posixpath.basename(path)
-                if name not in starts:
-                    continue  # of an attempt that failed
-                f = TokenFile(content.as_py())
-                ids = f.matrix.all().astype("<u4")
-                ends = np.cumsum(f.lengths)
-                for k in range(0, len(f.doc_ids), 2048):
+            for path, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, name = pafs.FileSystem.from_uri(path)
+                with store.open_input_stream(name) as f:
+                    data = f.read()
+                file = TokenFile(data)
+                ids = file.matrix.all().astype("<u4")
+                ends = np.cumsum(file.lengths)
+                for k in range(0, len(file.doc_ids), 2048):
                     some = slice(k, k + 2048)
-                    at = list(zip((ends[some] - f.lengths[some]).tolist(), ends[some].tolist(), strict=True))
+                    starts, stops = (ends[some] - file.lengths[some]).tolist(), ends[some].tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(f.doc_ids[some], pa.int64()), pa.array([starts[name] + a for a, _ in at], pa.int64()), pa.array(f.lengths[some], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in at], pa.binary())],
+                        [pa.array(file.doc_ids[some], pa.int64()), pa.array([before + a for a in starts], pa.int64()), pa.array(file.lengths[some], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return data.mapInArrow(run, schema)
+    # files are of about one size, so each is a partition's equal part
+    return files.repartition(4 * partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; null texts have the end id alone.
+
+    Rows of one doc_id are documents of their own, in the order of their texts.
+    """
     import public_tokenizers
 
     manifest = write_token_files(documents(spark, sf_dir), work_dir(spark) + "/ids", public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

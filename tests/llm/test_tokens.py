@@ -87,9 +87,82 @@ def test_wavelet_matrix():
             m.select(3, len(ids))
 
 
-def brute(library, docs, end):
+def test_one_id_reads_a_block_per_plane():
+    """Of a file of several blocks a plane, access reads one block of each, select two, count none twice."""
+    ids = np.random.default_rng(2).integers(0, 50_000, 200_001)
+    data = token_files.dump([1], [len(ids)], ids)
+    spans = []
+
+    def read(start, size):
+        spans.append(size)
+        return data[start : start + size]
+
+    f = token_files.TokenFile(read)
+    bits = f.matrix.bits
+    assert bits == 16 and f.reads == 0 and sum(spans) < len(data) / 20
+    assert f.matrix.access(123_456) == ids[123_456] and f.reads <= bits
+    v = int(ids[77_777])
+    f = token_files.TokenFile(read)
+    assert f.matrix.count(v) == (ids == v).sum() and f.reads <= 2 * bits
+    j = int((ids[:77_777] == v).sum())
+    f = token_files.TokenFile(read)
+    assert f.matrix.select(v, j) == 77_777 and f.reads <= 4 * bits
+    assert (f.matrix.all() == ids).all()
+
+
+def table(spark, tmp_path, docs):
+    docs.select("doc_id", "text").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_op8_query(spark, tmp_path, library):
+    """The query itself, also where rows share a doc_id or have none: these come first."""
+    docs = odd_documents(spark, fuzz(30, 8)).select("doc_id", "text").union(spark.createDataFrame([(None, "b"), (3, "zz"), (3, None), (3, "aa"), (3, "aa")], "doc_id long, text string"))
+    got = sorted(map(tuple, token_files.op8_token_files(spark, table(spark, tmp_path, docs)).collect()), key=lambda r: r[1])
+    order = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+    assert got == brute(library, order, 2, key=lambda x: 0)
+
+
+def test_op6_query(spark, tmp_path):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = odd_documents(spark, fuzz(200, 9) + ["word, " * 4000])
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op6_token_counts(spark, table(spark, tmp_path, docs)).collect()}
+    want = {d: (len(t.encode()), len(sp.encode(t))) for d, t in texts.items()}
+    assert got == {d: (b, n, n > 4096) for d, (b, n) in want.items()} and any(o for _, _, o in got.values())
+
+
+def test_op9_query(spark, tmp_path, library):
+    """Every id of every document in one piece, gapless sequences, short only by powers of two; repeated ids too."""
+    docs = odd_documents(spark, fuzz(100, 10) + ["some words " * 3000]).select("doc_id", "text").union(spark.createDataFrame([(3, "aa"), (3, "bb"), (None, None)], "doc_id long, text string"))
+    ids = [(r.doc_id, [*library.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
+    rows = packing.op9_packing(spark, table(spark, tmp_path, docs)).collect()
+    by_seq, by_doc = {}, {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, []).append((r.doc_tokens, r.start, r.length, r.ids_crc32))
+    sizes = []
+    for s in range(len(by_seq)):
+        at = 0
+        for offset, n in sorted(by_seq[s]):
+            assert offset == at
+            at += n
+        sizes.append(at)
+    assert sum(sizes) == sum(len(x) for _, x in ids) and all(n == 2048 or n & (n - 1) == 0 for n in sizes)
+    for d, x in ids:
+        if d is None or sum(e == d for e, _ in ids) > 1:
+            continue
+        at = 0
+        for tokens, start, n, crc in sorted(by_doc[d]):
+            assert (tokens, start, crc) == (len(x), at, zlib.crc32(np.array(x[at : at + n], "<u4").tobytes()))
+            at += n
+        assert at == len(x)
+    assert sorted(t for t, s, _, _ in by_doc[3] if s == 0) == sorted(len(x) for d, x in ids if d == 3) and len(by_doc[None]) == 1
+
+
+def brute(library, docs, end, key=lambda x: x[0]):
     rows, start = [], 0
-    for d, t in sorted(docs, key=lambda x: x[0]):
+    for d, t in sorted(docs, key=key):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4")
         rows.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
