@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import session
 from .errors import translate
@@ -13,6 +15,7 @@ from .operators.aggregate import aggregate
 from .operators.joins import JoinRequest, join
 from .operators.scan import Metrics, ScanRequest, scan, scan_metrics
 from .plans import Copy, Explain, PlanReport, Select, parse_statement, report, rewrite, split_statements
+from .plans.expressions import plain_sums
 from .plans.tokens import meaningful, tokenize
 from .sources import Catalog, table_of
 
@@ -63,10 +66,28 @@ class Engine:
             raise TypeError("not a SELECT")
         try:
             self._registered(sql)
-            return self.spark.sql(rewrite(sql, self._view))
+            df = self._analyzed(rewrite(sql, self._view))
+            sums = set(plain_sums(sql))
+            wide = [f"decimal(38,{f.dataType.scale})" if i in sums and isinstance(f.dataType, T.DecimalType) else None for i, f in enumerate(df.schema)]
+            if not any(wide) or len(set(map(str.lower, df.columns))) < len(df.columns):
+                return df
+            return df.select(*[df[f"`{c}`"].cast(w).alias(c) if w else df[f"`{c}`"] for c, w in zip(df.columns, wide, strict=True)])
         except Exception as e:
             raise translate(e) from e
 
+    def _analyzed(self, sql: str) -> DataFrame:
+        """A query's rows; the analyzer tells which casts to BIGINT are of dates, and these count days."""
+        while True:
+            try:
+                return self.spark.sql(sql)
+            except AnalysisException as e:
+                where = e.getQueryContext()
+                if not (e.getCondition() or "").startswith("DATATYPE_MISMATCH.CAST_WITH") or '"DATE" to "BIGINT"' not in str(e) or not where:
+                    raise
+                a, b = where[0].startIndex(), where[0].stopIndex() + 1
+                kind = sql[a:b].upper().rindex(" AS ")
+                sql = f"{sql[:a]}CAST(unix_date({sql[a:b][5:kind]}) AS BIGINT){sql[b:]}"
+
     def script(self, text: str) -> list[DataFrame | str | int]:
         """The results of all statements of a text, in order."""
         return [self.sql(s) for s in split_statements(text)]

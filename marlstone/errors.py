@@ -40,6 +40,14 @@ class InvalidCast(EngineError):
     pass
 
 
+class NumericOverflow(EngineError):
+    """A sum or cast beyond its type's range."""
+
+
+class DivisionByZero(EngineError):
+    pass
+
+
 class OrdinalOutOfRange(EngineError):
     pass
 
@@ -62,7 +70,7 @@ CONDITIONS: list[tuple[str, type[EngineError]]] = [
     ("AMBIGUOUS_", AmbiguousColumn), ("TABLE_OR_VIEW_NOT_FOUND", UnknownTable), ("PATH_NOT_FOUND", UnknownTable), ("UNABLE_TO_INFER_SCHEMA", UnknownTable),
     ("CAST_", InvalidCast), ("DATATYPE_MISMATCH", TypeMismatch), ("NUMERIC_VALUE_OUT_OF_RANGE", InvalidCast), ("INVALID_TYPED_LITERAL", InvalidCast), ("INCOMPATIBLE_COLUMN_TYPE", TypeMismatch),
     ("ORDER_BY_POS_OUT_OF_RANGE", OrdinalOutOfRange), ("GROUP_BY_POS_OUT_OF_RANGE", OrdinalOutOfRange), ("SCALAR_SUBQUERY_TOO_MANY_ROWS", SubqueryCardinality),
-    ("PARSE_SYNTAX_ERROR", ParseError),
+    ("ARITHMETIC_OVERFLOW", NumericOverflow), ("BINARY_ARITHMETIC_OVERFLOW", NumericOverflow), ("DIVIDE_BY_ZERO", DivisionByZero), ("REMAINDER_BY_ZERO", DivisionByZero), ("PARSE_SYNTAX_ERROR", ParseError),
 ]
 
 

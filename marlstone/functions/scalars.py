@@ -52,7 +52,7 @@ def multiply(a: Column, b: Column) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """The whole part of a / b; null if b is 0."""
-    return F.when(b != 0, (a - F.try_mod(a, b)) / b).cast("bigint")
+    return F.call_function("div", a, F.nullif(b, F.lit(0).cast("bigint")))
 
 
 def divide_exact(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ import sys
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
@@ -31,14 +31,31 @@ class ParquetOptions:
             out |= {"parquet.block.row.count.limit": str(self.row_group_size)}
         if self.data_page_row_count_limit:
             out |= {"parquet.page.row.count.limit": str(self.data_page_row_count_limit)}
+        if self.write_batch_size:  # rows between two looks at a page's size
+            out |= {"parquet.page.size.row.check.min": str(self.write_batch_size), "parquet.page.size.row.check.max": str(self.write_batch_size)}
         return out
 
 
+def _wide(df: DataFrame) -> bool:
+    """Whether rows may be gathered after the work on them; a sorted result is in order in one partition only."""
+    return "Sort" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and the count of its rows as they are written."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _quoted(s: str) -> str:
+    return '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\r\n') else s
+
+
 def _into_file(df: DataFrame, path: str, write, head: str = "") -> None:
     """A folder's single part file becomes the file `path`, after the text `head`."""
     spark = df.sparkSession
     folder = f"{path}.{uuid.uuid4().hex}"
-    write(df.coalesce(1), folder)
+    write(df.repartition(1) if _wide(df) else df.coalesce(1), folder)
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = next(s.getPath() for s in fs.listStatus(Path(folder)) if s.getPath().getName().startswith("part-"))
@@ -68,29 +85,31 @@ def csv_text(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, header: bool = False, single: bool = True) -> int:
     """Writes one file (single) or a folder of parts; returns the rows written."""
-    lines = csv_text(df)
+    df, seen = counted(df)
+    lines, head = csv_text(df), ",".join(map(_quoted, df.columns)) + "\n" if header else ""
     if single:
-        _into_file(lines, path, lambda d, p: d.write.option("lineSep", "\n").text(p), ",".join(df.columns) + "\n" if header else "")
+        _into_file(lines, path, lambda d, p: d.write.option("lineSep", "\n").text(p), head)
     else:
-        csv_text(df).write.mode("overwrite").text(path)
-    return df.count()
+        lines.write.mode("overwrite").text(path)
+    return seen.get["rows"]
 
 
 def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = None, single: bool = True) -> int:
     """Writes one file (single) or a folder of parts, which is what large results want."""
     settings = (options or ParquetOptions()).settings()
+    df, seen = counted(df)
     if single:
         _into_file(df, path, lambda d, p: d.write.options(**settings).parquet(p))
     else:
         df.write.mode("overwrite").options(**settings).parquet(path)
-    return df.count()
+    return seen.get["rows"]
 
 
 def print_rows(df: DataFrame, out=None, header: bool = False) -> int:
     """Rows as CSV to a stream, a partition at a time."""
     out = out or sys.stdout
     if header:
-        out.write(",".join(df.columns) + "\n")
+        out.write(",".join(map(_quoted, df.columns)) + "\n")
     n = 0
     for r in csv_text(df).toLocalIterator():
         out.write(r.value + "\n")

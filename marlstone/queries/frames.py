@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ def api_join_full_prefixed(spark, d):
 
 
 def api_semi_anti(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 150000")
     a = O.semi_join(c, o, ("c_custkey", "o_custkey")).select("c_custkey", F.lit("with").alias("kind"))
     return O.union(a, O.anti_join(c, o, ("c_custkey", "o_custkey")).select("c_custkey", F.lit("without").alias("kind")), all=True)
 
@@ -112,6 +115,74 @@ def api_count_if(spark, d):
     return O.aggregate(table(spark, d, "lineitem"), [X.count_if(F.col("l_returnflag") == "R").alias("returned"), X.count_distinct(F.col("l_suppkey")).alias("suppliers"), F.round(X.avg(F.col("l_tax")), 8).alias("tax")], ["l_linestatus"])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for what a query writes: in the one that executors share, if the cluster names it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="marlstone-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def sink_copy_parquet(spark, d):
+    path = scratch(spark) + "/out.parquet"
+    engine = Engine(spark)
+    n = engine.sql(f"COPY (SELECT o_orderkey, o_totalprice, o_orderstatus FROM '{d}/orders.parquet') TO '{path}' (FORMAT PARQUET, COMPRESSION zstd, ROW_GROUP_SIZE 5000, WRITE_BATCH_SIZE 512)")
+    return engine.sql(f"SELECT o_orderkey, o_totalprice, o_orderstatus, {n} AS written FROM '{path}'")
+
+
+def sink_copy_csv(spark, d):
+    path = scratch(spark) + "/out.csv"
+    n = Engine(spark).sql(f"COPY (SELECT p_partkey, concat(p_name, ', \"', p_brand, '\"') AS \"name, brand\", nullif(p_size, 7) AS p_size FROM '{d}/part.parquet') TO '{path}' (FORMAT CSV, HEADER true)")
+    back = spark.read.option("header", True).option("escape", '"').schema("p_partkey bigint, label string, p_size bigint").option("enforceSchema", True).csv(path)
+    return back.withColumn("written", F.lit(n))
+
+
+def source_partition_folders(spark, d):
+    path = scratch(spark) + "/orders"
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    return Engine(spark).table(path).select("o_orderkey", "o_orderstatus")
+
+
+def source_catalog_snapshot(spark, d):
+    """A registered table has the files of its registration until it is refreshed."""
+    folder = scratch(spark)
+    part = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    part.where("c_nationkey < 10").write.parquet(f"{folder}/t")
+    engine = Engine(spark, tempfile.mkdtemp(prefix="marlstone-") + "/catalog.json")
+    engine.catalog.register("pinned", f"{folder}/t")
+    part.where("c_nationkey >= 10").write.mode("append").parquet(f"{folder}/t")
+    before = engine.sql("SELECT 'before' AS moment, count(*) AS n, sum(c_custkey) AS keys FROM pinned").collect()
+    engine.catalog.refresh("pinned")
+    after = engine.sql("SELECT 'after' AS moment, count(*) AS n, sum(c_custkey) AS keys FROM pinned").collect()
+    return spark.createDataFrame([*before, *after], "moment string, n bigint, keys bigint")
+
+
+def api_scan_metrics(spark, d):
+    m = Engine(spark).scan_metrics(O.ScanRequest(f"{d}/orders.parquet", ("o_orderkey",), "o_totalprice > 100000"))
+    return spark.createDataFrame([(m.rows, m.row_groups > 0, m.bytes > 0)], "n bigint, groups boolean, bytes boolean")
+
+
+def api_explain(spark, d):
+    """What a plan report tells: columns read, filters pushed, and how a subquery was rewritten."""
+    r = Engine(spark).explain(f"SELECT o_orderkey FROM '{d}/orders.parquet' WHERE o_totalprice > 100000 AND o_custkey IN (SELECT c_custkey FROM '{d}/customer.parquet')")
+    facts = [("pushed", any("GreaterThan(o_totalprice" in p for p in r.pushed)), ("pruned", not any("o_orderpriority" in c for c in r.read)), ("semi", "subquery to semi-join" in r.rewrites)]
+    return spark.createDataFrame(facts, "what string, holds boolean")
+
+
+def api_errors(spark, d):
+    """The engine's errors by name, for statements that can't run."""
+    engine, path = Engine(spark), f"{d}/nation.parquet"
+    texts = {
+        "column": f"SELECT nope FROM '{path}'", "table": "SELECT 1 FROM no_such_table_here", "cast": f"SELECT CAST(n_name AS BIGINT) AS x FROM '{path}'",
+        "ordinal": f"SELECT n_name FROM '{path}' ORDER BY 7", "rows": f"SELECT (SELECT n_name FROM '{path}') AS x", "syntax": "SELECT 1 +", "statement": "DROP TABLE x",
+    }
+    found = []
+    for what, sql in texts.items():
+        try:
+            engine.rows(sql)
+        except Exception as e:
+            found.append((what, type(e).__name__))
+    return spark.createDataFrame(found, "what string, error string")
+
+
 def api_latest_per_user(spark, d):
     w = Window.partitionBy("user_id").orderBy(X.sort_key("ts desc"), X.sort_key("event_id desc"))
     return table(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "event_type")
@@ -133,7 +204,7 @@ PAIRS = {
     api_join_merge: "SELECT n_name, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey",
     api_join_hash: "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     api_join_full_prefixed: "SELECT s_suppkey AS supplier_key, c_custkey AS customer_key FROM supplier FULL JOIN customer ON s_suppkey = c_custkey",
-    api_semi_anti: "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'with' ELSE 'without' END AS kind FROM customer",
+    api_semi_anti: "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) THEN 'with' ELSE 'without' END AS kind FROM customer",
     api_windows: "SELECT o_orderkey, row_number() OVER w AS rn, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
     api_sets: "SELECT k, 'i' AS op FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'e' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)",
     api_top_of_union: "SELECT c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier ORDER BY v DESC, k LIMIT 20",
@@ -141,6 +212,13 @@ PAIRS = {
     api_exchange: "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey",
     api_scalars: "SELECT p_partkey, concat(p_brand, nullif(p_type, 'PROMO')) AS joined, substring(p_name, 2, 3) AS part, length(p_name) AS n, p_partkey // 7 AS q, floor(p_retailprice) AS lo, ceil(p_retailprice) AS hi, round(p_retailprice) AS near, CAST(p_size AS DOUBLE) AS size, p_size + 1 AS second FROM part",
     api_count_if: "SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(DISTINCT l_suppkey) AS suppliers, round(avg(l_tax), 8) AS tax FROM lineitem GROUP BY l_linestatus",
+    sink_copy_parquet: "SELECT o_orderkey, o_totalprice, o_orderstatus, (SELECT count(*) FROM orders) AS written FROM orders",
+    sink_copy_csv: "SELECT p_partkey, concat(p_name, ', \"', p_brand, '\"') AS label, nullif(p_size, 7) AS p_size, (SELECT count(*) FROM part) AS written FROM part",
+    source_partition_folders: "SELECT o_orderkey, o_orderstatus FROM orders",
+    source_catalog_snapshot: "SELECT 'before' AS moment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_nationkey < 10 UNION ALL SELECT 'after', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer",
+    api_scan_metrics: "SELECT count(*) AS n, true AS groups, true AS bytes FROM orders WHERE o_totalprice > 100000",
+    api_explain: "SELECT unnest(['pushed', 'pruned', 'semi']) AS what, true AS holds",
+    api_errors: "SELECT unnest(['column', 'table', 'cast', 'ordinal', 'rows', 'syntax', 'statement']) AS what, unnest(['UnknownColumn', 'UnknownTable', 'InvalidCast', 'OrdinalOutOfRange', 'SubqueryCardinality', 'ParseError', 'UnsupportedError']) AS error",
     api_latest_per_user: "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     stream_windowed_counts: "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,21 +98,27 @@ def scan_size(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def row_groups(spark: SparkSession, path: str, chosen: list[int]) -> DataFrame:
-    """The rows of the chosen row groups, numbered from 0 over the files in order of their paths."""
-    k, wanted = 0, {}
+    """The rows of the chosen row groups, numbered from 0 over the files in order of their paths.
+
+    Files without a chosen group aren't read; within a file, a group is a range of its rows.
+    """
+    k, wanted, pick = 0, {}, set(chosen)
     for f in footers(spark, path):
         at = 0
         for n in f.rows:
-            if k in chosen:
-                wanted.setdefault(f.path.rsplit("/", 1)[-1], []).append((at, at + n))
+            if k in pick:
+                wanted.setdefault(f.path, []).append((at, at + n - 1))
             at += n
             k += 1
-    df = spark.read.parquet(path)
+    if not wanted:
+        return spark.read.parquet(path).limit(0)
+    row, file = F.col("_metadata.row_index"), F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z0-9]+:/+", "/")
     cond = F.lit(False)
     for name, ranges in wanted.items():
-        for a, b in ranges:
-            cond = cond | ((F.col("_metadata.file_name") == name) & F.col("_metadata.row_index").between(a, b - 1))
-    return df.where(cond)
+        here = re.sub("^[A-Za-z0-9]+:/+", "/", quote(name, safe="/:@!$&'()*+,;=~-._"))
+        cond = cond | ((file == here) & reduce(or_, [row.between(a, b) for a, b in ranges]))
+    reader = spark.read if len(wanted) == 1 and next(iter(wanted)) == path else spark.read.option("basePath", path)
+    return reader.parquet(*wanted).where(cond)
 
 
 def column_max(df: DataFrame, column: str) -> int | None:

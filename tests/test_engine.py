@@ -1,6 +1,7 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone import errors
 from marlstone import functions as X
@@ -122,3 +123,27 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_row_groups_of_files_named_alike(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for folder, at in (("k=a b", 0), ("k=c", 100)):
+        (tmp_path / "t" / folder).mkdir(parents=True)
+        pq.write_table(pa.table({"v": list(range(at, at + 20))}), tmp_path / "t" / folder / "same.parquet", row_group_size=5)
+    got = lambda *g: sorted(r.v for r in row_groups(spark, str(tmp_path / "t"), list(g)).select("v").collect())
+    assert got(1) == list(range(5, 10)) and got(4, 7) == [*range(100, 105), *range(115, 120)] and got() == []
+
+
+def test_csv_headers_are_quoted(engine, tmp_path):
+    path = f"{tmp_path}/x.csv"
+    assert engine.sql(f"""COPY (SELECT 1 AS "a,b", 2 AS "c""d") TO '{path}' (FORMAT CSV, HEADER true)""") == 1
+    assert open(path).read() == '"a,b","c""d"\n1,2\n'
+
+
+def test_whole_part_beyond_doubles(spark):
+    from marlstone.functions import int_div
+
+    df = spark.createDataFrame([(9007199254740993, 1), (-7, 2), (5, 0)], "a long, b long")
+    assert [r.q for r in df.select(int_div(F.col("a"), F.col("b")).alias("q")).collect()] == [9007199254740993, -3, None]
