@@ -10,11 +10,12 @@ turn and the rest is a key. So all pairs within the distance meet in a key, with
 What is asked for are the links' components, so not all pairs of a key's members are compared. First,
 each class is compared with the smallest class of each of its keys, and joined to the likest if they
 are confirmed. Where a key's members are in several components then, those outside the largest one are
-compared with a few of its members in the same way. Last, in keys that are still in several components,
+compared with one of its members in the same way. Last, in keys that are still in several components,
 every member outside the largest one is compared with every member of another component, in blocks; a
 pair comes from the first key that it shares. So every pair within the distance is looked at, or is in
 one component already. What is within the distance is confirmed on the full sets, unless the sizes of
-the sets rule it out.
+the sets rule it out, or how many elements each has in each of BUCKETS parts of the hashes' range: no
+more elements are common to two sets than the smaller numbers of the parts add up to.
 """
 
 from __future__ import annotations
@@ -112,8 +113,20 @@ def salts(hashes: int) -> np.ndarray:
     return mix(np.arange(1, hashes // 2 + 1, dtype=np.uint64) * MIX[0])
 
 
-#: A symbol's type.
-SYMBOL = "<u2"
+#: A symbol's type; the parts of the hashes' range whose elements are counted, up to MANY.
+SYMBOL, BUCKETS, MANY = "<u2", 512, 255
+
+
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many elements of a set are in each part, MANY where they are as many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BUCKETS), MANY).astype(np.uint8).tobytes()
+
+
+def may_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of bucket counts, an upper bound for the elements that the sets have in common."""
+    bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    # where both have MANY or more, the counts tell no bound
+    return np.where(((x == MANY) & (y == MANY)).any(axis=1), np.iinfo(np.int64).max >> 8, bound)
 
 
 def signature(s: np.ndarray, salt: np.ndarray) -> bytes:
@@ -150,18 +163,18 @@ def fingerprints(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
 
 
 def full_sets(df: DataFrame, classes: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
-    """id, elements (the sorted shingle hashes) of the classes, from the text that each has first."""
+    """id, elements (the sorted shingle hashes) and counts (of the buckets) of the classes, from the text that each has first."""
 
     def run(batches):
         release()
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), rule.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "elements"])
+            sets = [(s.tobytes(), bucket_counts(s)) for s in shingle_sets(batch.column(1), rule.words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in sets], pa.binary()) for k in (0, 1))], names=["id", "elements", "counts"])
 
     wanted = classes.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     # a repeated row is one text
     texts = keyed(df, doc_id=doc_id, text_hash=F.xxhash64(text), text=text).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, elements binary, counts binary")
 
 
 def key_hashes(sig: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
@@ -221,7 +234,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule, spread: int = 64) ->
     placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("salt"))
     anchors = placed.select("a", F.lit(None).cast("long").alias("b"), "salt").distinct()
     sides = placed.select("a", "b", "salt", F.col("b").alias("id")).union(anchors.select("a", "b", "salt", F.col("a").alias("id")))
-    sent = sides.join(sets, "id").select("a", "salt", "b", "elements").repartition(4 * partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    sent = sides.join(sets.select("id", "elements"), "id").select("a", "salt", "b", "elements").repartition(4 * partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches):
         release()
@@ -254,7 +267,7 @@ def mixed_keys(shared: DataFrame, label: DataFrame) -> DataFrame:
     return found.join(keys.select("key", F.col("x.component").alias("center"), "n", (F.col("n") - F.col("x.m")).alias("outside")), "key")
 
 
-def near_center(members: DataFrame, few: int = 8) -> DataFrame:
+def near_center(members: DataFrame, few: int = 1) -> DataFrame:
     """a, b: members of a key's largest component, a few of them by a hash, and its members outside."""
     by = Window.partitionBy("key").orderBy(F.xxhash64("a"), "a")
     some = members.where("component = center").select("key", F.col("id").alias("a")).withColumn("place", F.row_number().over(by)).where(F.col("place") <= few).select("key", "a")
@@ -264,7 +277,7 @@ def near_center(members: DataFrame, few: int = 8) -> DataFrame:
 def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     """Pairs (a, b) of members of one key but of different components, within the distance and of fitting sizes.
 
-    members: key, id, component, center, n, outside, signature, size. One of a pair is outside the key's
+    members: key, id, component, center, n, outside, signature, size, counts. One of a pair is outside the key's
     largest component. So a key's members, and those outside, are dealt into blocks, and every two blocks
     of the one and the other meet in a place of their own, with 2 * block rows or a few more.
     """
@@ -274,8 +287,8 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
     as_member = F.transform(F.sequence(zero, F.col("columns") - 1), lambda j: place(F.col("row"), j, yes, F.col("out") & (j == F.col("column"))))
     as_outer = F.transform(F.filter(F.sequence(zero, F.col("rows") - 1), lambda i: F.col("out") & (i != F.col("row"))), lambda i: place(i, F.col("column"), no, yes))
-    dealt = members.select("key", "id", "component", "signature", "size", rows.alias("rows"), columns.alias("columns"), row.alias("row"), column.alias("column"), out.alias("out"))
-    dealt = dealt.withColumn("at", F.explode(F.concat(as_member, as_outer))).select("key", "at.i", "at.j", "at.inside", "at.outside", "id", "component", "size", "signature")
+    dealt = members.select("key", "id", "component", "signature", "counts", "size", rows.alias("rows"), columns.alias("columns"), row.alias("row"), column.alias("column"), out.alias("out"))
+    dealt = dealt.withColumn("at", F.explode(F.concat(as_member, as_outer))).select("key", "at.i", "at.j", "at.inside", "at.outside", "id", "component", "size", "signature", "counts")
     dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     kept = [np.array(k) for k in rule.keys()]
     longest = max(map(len, kept))
@@ -285,6 +298,7 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
         """The pairs of whole places."""
         key, i, j, inside, outside, ids, comp, size = (part.column(k).to_numpy(zero_copy_only=False) for k in range(8))
         sig = symbols(part.column(8).to_pylist())
+        counts = np.frombuffer(b"".join(part.column(9).to_pylist()), np.uint8).reshape(len(sig), -1)
         change = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
         turns = (key_hashes(sig[cuts[:-1]].astype(np.uint64), kept).view(np.int64) == key[cuts[:-1]]).argmax(axis=0)
@@ -303,6 +317,9 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
                 ok = same.sum(axis=1) >= rule.indexed - rule.distance
                 p, q, t, same = p[ok], q[ok], t[ok], same[ok]
                 ok = same[:, places].all(axis=2).argmax(axis=1) == t  # the first key that they share
+                p, q = p[ok], q[ok]
+                common = may_share(counts[p], counts[q])
+                ok = 100 * common >= rule.percent * (size[p] + size[q] - common)
                 p, q = ids[p[ok]], ids[q[ok]]
                 out[0].append(np.minimum(p, q))
                 out[1].append(np.maximum(p, q))
@@ -376,7 +393,7 @@ def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_
     members = mixed_keys(shared, label)
     more = stage(confirm(likest(within(near_center(members), classes, rule)), sets, rule), f"{folder}/more")
     label = joined(label, more, f"{folder}/round-2")
-    members = mixed_keys(shared, label).join(classes.select("id", "signature", F.col("n_shingles").alias("size")), "id")
+    members = mixed_keys(shared, label).join(classes.select("id", "signature", F.col("n_shingles").alias("size")), "id").join(sets.select("id", "counts"), "id")
     rest = stage(across(members, rule), f"{folder}/rest")
     label = joined(label, stage(confirm(rest, sets, rule), f"{folder}/last"), f"{folder}/round-3")
     member = classes.join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"), "first.doc_id")

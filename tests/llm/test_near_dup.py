@@ -92,15 +92,28 @@ def test_blocks_of_a_large_key(spark, block):
     key = int(near_dup.key_hashes(sig[:1].astype(np.uint64), [np.array(k) for k in rule.keys()])[0, 0].view(np.int64))
     same = [i for i in range(40) if (sig[i] == sig[0])[list(rule.keys()[0])].all()]
     of = {i: 0 if i % 5 < 3 else i % 5 for i in same}
-    size = {i: 100 if i % 7 else 200 for i in same}
+    size = {i: 110 if i % 7 else 200 for i in same}
     outside = sum(c > 0 for c in of.values())
     assert 3 < outside < len(same) / 2
-    members = spark.createDataFrame([(key, i, of[i], 0, len(same), outside, bytearray(raw[i]), size[i]) for i in same], "key long, id long, component long, center long, n long, outside long, signature binary, size long")
-    want = {(a, b) for a, b in combinations(same, 2) if of[a] != of[b] and size[a] == size[b] and (sig[a] != sig[b]).sum() <= rule.distance}
+    members = spark.createDataFrame([(key, i, of[i], 0, len(same), outside, bytearray(raw[i]), size[i], bytearray(near_dup.bucket_counts(sets[i]))) for i in same], "key long, id long, component long, center long, n long, outside long, signature binary, size long, counts binary")
+    count = np.array([np.bincount((x >> np.uint64(55)).astype(int), minlength=512) for x in sets])
+    most = lambda a, b: int(np.minimum(count[a], count[b]).sum())
+    want = {(a, b) for a, b in combinations(same, 2) if of[a] != of[b] and size[a] == size[b] and (sig[a] != sig[b]).sum() <= rule.distance and 100 * most(a, b) >= 85 * (size[a] + size[b] - most(a, b))}
+    assert len(want) > 20
     got = [tuple(r) for r in near_dup.across(members, rule, block).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
+def test_bucket_counts_bound_what_is_common():
+    rng = np.random.default_rng(4)
+    for n in (1, 50, 3000, 400_000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 2**64, n // 10 + 1, dtype=np.uint64)]))
+        x, y = (np.frombuffer(near_dup.bucket_counts(s), np.uint8)[None] for s in (a, b))
+        both = len(np.intersect1d(a, b))
+        assert near_dup.may_share(x, y)[0] >= both and (n > 100_000 or near_dup.may_share(x, y)[0] <= both + n / 10 + 1)
+
+
 def test_a_large_group_that_its_first_member_does_not_hold_together(spark):
     """A chain of edits: most members are far from the smallest one, and some from all that were tried."""
     rng = random.Random(21)
