@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, extend, keyed, release
+from .common import delete, documents, extend, keyed, release, stage, work_dir
 from .segments import Memo, cut, slices
 
 UNKNOWN = "und"
@@ -199,6 +199,22 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
+def smallest(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows (lang, doc_id) of each language whose doc_id has the smallest hash.
+
+    A language's rows are counted by 4096 ranges of the hash, of which the first that hold n rows are
+    looked at. So what meets in one task is 4096 counts and about a 4096th of a language's rows.
+    """
+    placed = rows.withColumn("h", F.xxhash64("doc_id", F.lit(7))).withColumn("range", F.shiftright("h", 52))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = placed.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    # a row per language
+    last = ranges.where(F.col("before") < n).groupBy("lang").agg(F.max("range").alias("last"))
+    near = placed.join(F.broadcast(last), "lang").where(F.col("range") <= F.col("last"))
+    # a partition's own best rows are found before any of them is sent
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= n).select("lang", "doc_id")
+
+
 def train_on(docs: DataFrame, docs_per_language: int = 300, windows_per_language: int = 25_000, bytes_per_language: int = 400_000) -> Model | None:
     """Fits the network to documents outside fold 0 with a language and a text.
 
@@ -208,9 +224,9 @@ def train_on(docs: DataFrame, docs_per_language: int = 300, windows_per_language
     driver are these windows. None if there is no such document.
     """
     known = keyed(docs, doc_id="doc_id", text="text", lang="lang").where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    # narrow rows; a partition's own best ones are found before any of them is sent
-    few = known.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= docs_per_language).select("lang", "doc_id").distinct()
+    folder = work_dir(docs.sparkSession) + "/langid"
+    rows = smallest(stage(known.select("lang", "doc_id"), folder), docs_per_language)
+    few = rows.select("lang", "doc_id").distinct()
     # docs_per_language rows of a language at most
     sample = known.join(F.broadcast(few), (known.lang == few.lang) & known.doc_id.eqNullSafe(few.doc_id), "left_semi")
 
@@ -237,6 +253,7 @@ def train_on(docs: DataFrame, docs_per_language: int = 300, windows_per_language
     upto = least.rowsBetween(Window.unboundedPreceding, 0)
     chosen = pieces.withColumn("place", F.row_number().over(least)).withColumn("bytes", F.sum(F.length("piece")).over(upto))
     rows = chosen.where((F.col("place") <= windows_per_language) & ((F.col("bytes") <= bytes_per_language) | (F.col("place") == 1))).select("lang", "place", "piece", "lo", "hi").toArrow()
+    delete(docs.sparkSession, folder)
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("lang", "ascending"), ("place", "ascending")])

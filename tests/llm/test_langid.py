@@ -69,6 +69,18 @@ def test_rows_of_one_id_and_many_languages(spark):
     assert len(model.languages) == 40
 
 
+def test_smallest_hashes_of_each_language(spark):
+    rows = spark.sql("SELECT CASE WHEN id % 9 = 0 THEN 'b' WHEN id < 5 THEN 'c' ELSE 'a' END AS lang, CASE WHEN id % 7 > 0 THEN id DIV 2 END AS doc_id FROM range(30000)")
+    for n in (1, 40, 50_000):
+        found = langid.smallest(rows, n).collect()
+        wanted = []
+        for lang in "abc":
+            of = rows.where(f"lang = '{lang}'").selectExpr("lang", "doc_id", "xxhash64(doc_id, 7) AS h").collect()
+            wanted += [(r.lang, r.doc_id) for r in sorted(of, key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0))[:n]]
+        assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
+    assert langid.smallest(rows.limit(0), 3).count() == 0
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows = langid.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
