@@ -16,10 +16,14 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         round(sum({REVENUE}), 2) AS sum_disc_price, round(sum({REVENUE} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty,
         round(avg(l_extendedprice), 6) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
-    "q02_minimum_cost_supplier": f"""WITH {PARTSUPP} SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
+    "q02_minimum_cost_supplier": (f"""WITH {PARTSUPP}, offers AS (SELECT ps_partkey, ps_suppkey, ps_supplycost, min(ps_supplycost) OVER (PARTITION BY ps_partkey) AS cheapest FROM partsupp
+        WHERE ps_suppkey IN (SELECT s_suppkey FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE') AND ps_partkey IN (SELECT p_partkey FROM part WHERE p_size < 15))
+        SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM offers, part, supplier, nation WHERE ps_supplycost = cheapest AND p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+        f"""WITH {PARTSUPP} SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
         WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size < 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
         AND ps_supplycost = (SELECT min(ps_supplycost) FROM partsupp, supplier, nation, region WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
-        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100"""),
     "q03_shipping_priority": f"""SELECT l_orderkey, round(sum({REVENUE}), 2) AS revenue, o_orderdate FROM customer, orders, lineitem
         WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
         GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
@@ -42,8 +46,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         GROUP BY nation_name, o_year ORDER BY nation_name, o_year DESC""",
     "q10_returned_items": f"""SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey
         AND o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
-    "q11_important_stock": f"""WITH {PARTSUPP} SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 2) AS stock_value FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1
-        GROUP BY ps_partkey HAVING sum(ps_supplycost * ps_availqty) > (SELECT sum(ps_supplycost * ps_availqty) * 0.001 FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1) ORDER BY stock_value DESC, ps_partkey""",
+    "q11_important_stock": (f"""WITH {PARTSUPP}, stock AS (SELECT ps_partkey, sum(ps_supplycost * ps_availqty) AS worth FROM partsupp
+        WHERE ps_suppkey IN (SELECT s_suppkey FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 1) GROUP BY ps_partkey)
+        SELECT ps_partkey, round(worth, 2) AS stock_value FROM stock WHERE worth > (SELECT sum(worth) * 0.001 FROM stock) ORDER BY stock_value DESC, ps_partkey""",
+        f"""WITH {PARTSUPP} SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 2) AS stock_value FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1
+        GROUP BY ps_partkey HAVING sum(ps_supplycost * ps_availqty) > (SELECT sum(ps_supplycost * ps_availqty) * 0.001 FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1) ORDER BY stock_value DESC, ps_partkey"""),
     "q12_priority_counts": """SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
         CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_returnflag IN ('A', 'R')
         AND l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY l_returnflag ORDER BY l_returnflag""",
@@ -52,8 +59,10 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "q14_promo_revenue": f"""SELECT round(100.00 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) / sum({REVENUE}), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-10-01'""",
     "q15_top_supplier": f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum({REVENUE}), 2) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-04-01' GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""",
-    "q16_parts_suppliers": f"""WITH {PARTSUPP} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp, part WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#45' AND p_type NOT LIKE 'PROMO%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3)
-        AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
+    "q16_parts_suppliers": ("""SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#45' AND p_type NOT LIKE 'PROMO%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3)
+        AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
+        f"""WITH {PARTSUPP} SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp, part WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#45' AND p_type NOT LIKE 'PROMO%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3)
+        AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size"""),
     "q17_small_quantity": """SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#13' AND p_size < 40
         AND l_quantity < (SELECT 0.4 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)""",
     "q18_large_orders": """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, round(sum(l_quantity), 2) AS total_qty FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200)
