@@ -34,6 +34,13 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by sorting, on the executors. For operators of many joins: adaptive execution would
+    send each small side through the driver, which keeps over 1 MB of it, however few rows it has, until
+    its garbage is collected. Skewed keys are split as in other joins."""
+    return df.hint("merge")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a staged table that nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -144,4 +151,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "held", "keyed", "partitions", "publish", "release", "stage", "to_uri", "work_dir"]
+__all__ = ["ARROW", "F", "T", "delete", "documents", "extend", "field", "held", "keyed", "merged", "partitions", "publish", "release", "stage", "to_uri", "work_dir"]

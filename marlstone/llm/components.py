@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, stage
+from .common import delete, merged, stage
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -22,14 +22,14 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     links = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{folder}/links")
     labels = stage(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), f"{folder}/labels-0")
     for k in count(1):
-        near = links.join(labels, links.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        took = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = links.join(merged(labels), links.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
+        took = labels.join(merged(near), labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # the label's own label: labels are ids, and an id that is a label has a row
         own = labels.select(F.col("id").alias("l"), F.col("label").alias("further"))
-        jumped = took.join(own, took.label == own.l, "left").select("id", "old", F.least("label", "further").alias("label"))
+        jumped = took.join(merged(own), took.label == own.l, "left").select("id", "old", F.least("label", "further").alias("label"))
         # what a label's nodes have found, for the label's own node
         passed = took.where("label < old").groupBy("old").agg(F.min("label").alias("found")).select(F.col("old").alias("root"), "found")
-        hooked = jumped.join(passed, jumped.id == passed.root, "left").select("id", "old", F.least("label", "found").alias("label"))
+        hooked = jumped.join(merged(passed), jumped.id == passed.root, "left").select("id", "old", F.least("label", "found").alias("label"))
         done = stage(hooked, f"{folder}/labels-{k}")
         if k > 1:
             delete(spark, f"{folder}/labels-{k - 1}")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, documents, keyed, partitions, release, stage, work_dir
+from .common import delete, documents, keyed, merged, partitions, release, stage, work_dir
 from .components import components
 from .segments import cut, slices
 
@@ -173,7 +173,7 @@ def full_sets(df: DataFrame, classes: DataFrame, rule: Rule, doc_id: str, text:
 
     wanted = classes.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     # a repeated row is one text
-    texts = keyed(df, doc_id=doc_id, text_hash=F.xxhash64(text), text=text).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    texts = keyed(df, doc_id=doc_id, text_hash=F.xxhash64(text), text=text).join(merged(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     return texts.select("id", "text").mapInArrow(run, "id long, elements binary, counts binary")
 
 
@@ -215,7 +215,7 @@ def within(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(apart <= rule.distance))
 
     one, other = (classes.select(F.col("id").alias(i), F.col("signature").alias(x), F.col("n_shingles").alias(n)) for i, x, n in (("a", "x", "m"), ("b", "y", "n")))
-    both = pairs.join(one, "a").join(other, "b").where(rule.sizes(F.col("m"), F.col("n"))).select("a", "b", "x", "y")
+    both = pairs.join(merged(one), "a").join(merged(other), "b").where(rule.sizes(F.col("m"), F.col("n"))).select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long, apart long")
 
 
@@ -234,7 +234,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule, spread: int = 64) ->
     placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(spread)).alias("salt"))
     anchors = placed.select("a", F.lit(None).cast("long").alias("b"), "salt").distinct()
     sides = placed.select("a", "b", "salt", F.col("b").alias("id")).union(anchors.select("a", "b", "salt", F.col("a").alias("id")))
-    sent = sides.join(sets.select("id", "elements"), "id").select("a", "salt", "b", "elements").repartition(4 * partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    sent = sides.join(merged(sets.select("id", "elements")), "id").select("a", "salt", "b", "elements").repartition(partitions(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches):
         release()
@@ -261,17 +261,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, rule: Rule, spread: int = 64) ->
 def mixed_keys(shared: DataFrame, label: DataFrame) -> DataFrame:
     """key, id, component, center (the key's largest component), n (members), outside (those not in it), of
     the keys whose members are in several components. label: id, component."""
-    found = shared.select("key", "id").join(label, "id")
+    found = shared.select("key", "id").join(merged(label), "id")
     per = found.groupBy("key", "component").agg(F.count("*").alias("m"))
     keys = per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x"), F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
-    return found.join(keys.select("key", F.col("x.component").alias("center"), "n", (F.col("n") - F.col("x.m")).alias("outside")), "key")
+    return found.join(merged(keys.select("key", F.col("x.component").alias("center"), "n", (F.col("n") - F.col("x.m")).alias("outside"))), "key")
 
 
 def near_center(members: DataFrame, few: int = 1) -> DataFrame:
     """a, b: members of a key's largest component, a few of them by a hash, and its members outside."""
     by = Window.partitionBy("key").orderBy(F.xxhash64("a"), "a")
     some = members.where("component = center").select("key", F.col("id").alias("a")).withColumn("place", F.row_number().over(by)).where(F.col("place") <= few).select("key", "a")
-    return members.where("component <> center").select("key", F.col("id").alias("b")).join(some, "key").select("a", "b").distinct()
+    return members.where("component <> center").select("key", F.col("id").alias("b")).join(merged(some), "key").select("a", "b").distinct()
 
 
 def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
@@ -289,7 +289,7 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     as_outer = F.transform(F.filter(F.sequence(zero, F.col("rows") - 1), lambda i: F.col("out") & (i != F.col("row"))), lambda i: place(i, F.col("column"), no, yes))
     dealt = members.select("key", "id", "component", "signature", "counts", "size", rows.alias("rows"), columns.alias("columns"), row.alias("row"), column.alias("column"), out.alias("out"))
     dealt = dealt.withColumn("at", F.explode(F.concat(as_member, as_outer))).select("key", "at.i", "at.j", "at.inside", "at.outside", "id", "component", "size", "signature", "counts")
-    dealt = dealt.repartition(4 * partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = dealt.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     kept = [np.array(k) for k in rule.keys()]
     longest = max(map(len, kept))
     places = np.array([[*k, *[k[-1]] * (longest - len(k))] for k in rule.keys()])
@@ -357,12 +357,26 @@ def across(members: DataFrame, rule: Rule, block: int = 1024) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def nearest_links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFrame:
+    """Of each b in the pairs (a, b) the likest a within the distance, if their full sets are similar enough.
+
+    Each step is a table: one plan of all of them would keep the figures of all their tasks in the driver.
+    """
+    spark = pairs.sparkSession
+    pairs = stage(pairs, f"{folder}/pairs")
+    best = stage(likest(within(pairs, classes, rule)), f"{folder}/best")
+    links = stage(confirm(best, sets, rule), f"{folder}/links")
+    for name in ("pairs", "best"):
+        delete(spark, f"{folder}/{name}")
+    return links
+
+
 def joined(label: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """label (id, component) after the components of the pairs (a, b) have been joined."""
-    of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    of = lambda c: merged(label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")))
     edges = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     onto = components(edges, folder).select(F.col("id").alias("component"), F.col("component").alias("onto"))
-    return stage(label.join(onto, "component", "left").select("id", F.coalesce("onto", "component").alias("component")), f"{folder}/label")
+    return stage(label.join(merged(onto), "component", "left").select("id", F.coalesce("onto", "component").alias("component")), f"{folder}/label")
 
 
 def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,25 +397,25 @@ def near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str = "doc_
     classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
     keys = stage(chunk_keys(classes, rule), f"{folder}/keys")
     sizes = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(keys.join(sizes, "key").select("key", "id", "lead"), f"{folder}/shared")
+    shared = stage(keys.join(merged(sizes), "key").select("key", "id", "lead"), f"{folder}/shared")
     delete(spark, f"{folder}/keys")
     label = stage(shared.select("id").distinct().withColumn("component", F.col("id")), f"{folder}/label-0")
-    sets = stage(full_sets(df, classes.join(label.select("id"), "id", "left_semi"), rule, doc_id, text), f"{folder}/sets")
+    sets = stage(full_sets(df, classes.join(merged(label.select("id")), "id", "left_semi"), rule, doc_id, text), f"{folder}/sets")
     leads = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stage(confirm(likest(within(leads, classes, rule)), sets, rule), f"{folder}/stars")
+    stars = nearest_links(leads, classes, sets, rule, f"{folder}/stars")
     label = joined(label, stars, f"{folder}/round-1")
     members = mixed_keys(shared, label)
-    more = stage(confirm(likest(within(near_center(members), classes, rule)), sets, rule), f"{folder}/more")
+    more = nearest_links(near_center(members), classes, sets, rule, f"{folder}/more")
     label = joined(label, more, f"{folder}/round-2")
-    members = mixed_keys(shared, label).join(classes.select("id", "signature", F.col("n_shingles").alias("size")), "id").join(sets.select("id", "counts"), "id")
+    members = mixed_keys(shared, label).join(merged(classes.select("id", "signature", F.col("n_shingles").alias("size"))), "id").join(merged(sets.select("id", "counts")), "id")
     rest = stage(across(members, rule), f"{folder}/rest")
     label = joined(label, stage(confirm(rest, sets, rule), f"{folder}/last"), f"{folder}/round-3")
-    member = classes.join(label, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"), "first.doc_id")
+    member = classes.join(merged(label), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"), "first.doc_id")
     least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
-    found = stage(member.join(least, "component").select("set_hash", "least"), f"{folder}/least")
+    found = stage(member.join(merged(least), "component").select("set_hash", "least"), f"{folder}/least")
     for name in ("shared", "sets", "stars", "more", "rest", "last", "label-0", "classes", "round-1", "round-2", "round-3"):
         delete(spark, f"{folder}/{name}")
-    out = prints.join(found, "set_hash", "left")
+    out = prints.join(merged(found), "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
@@ -413,7 +427,7 @@ def drop_near_duplicates(df: DataFrame, rule: Rule | None = None, doc_id: str =
     """
     judged = near_duplicates(df, rule, doc_id, text)
     gone = judged.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df[doc_id] == gone["__gone"], "left_anti")
+    return df.join(merged(gone), df[doc_id] == gone["__gone"], "left_anti")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

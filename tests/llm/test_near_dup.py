@@ -154,6 +154,17 @@ def test_components_of_a_shuffled_path(spark, tmp_path):
     assert len(got) == 1000 and {r.component for r in got} == {0}
 
 
+def test_small_tables_are_not_sent_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    rows = [(i, text) for i, text in enumerate([*family(1, 30, 2), *family(2, 30, 8)])]
+    near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.CONTRACT).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    nodes = [graph.apply(k).name() for i in range(before, done.size()) for graph in [store.planGraph(done.apply(i).executionId()).allNodes()] for k in range(graph.size())]
+    assert "SortMergeJoin" in nodes and not {"BroadcastExchange", "BroadcastHashJoin"} & set(nodes)
+
+
 def test_sql(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate([*family(11, 9, 7), *family(12, 4, 2), None, "", "a b", "a B"])]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
