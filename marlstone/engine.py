@@ -15,6 +15,7 @@ from .operators.aggregate import aggregate
 from .operators.joins import JoinRequest, join
 from .operators.scan import Metrics, ScanRequest, scan, scan_metrics
 from .plans import Copy, Explain, PlanReport, Select, parse_statement, report, rewrite, split_statements
+from .plans.counts import count_by_keys
 from .plans.expressions import plain_sums
 from .plans.tokens import meaningful, tokenize
 from .sources import Catalog, table_of
@@ -66,7 +67,7 @@ class Engine:
             raise TypeError("not a SELECT")
         try:
             self._registered(sql)
-            df = self._analyzed(rewrite(sql, self._view))
+            df = self._analyzed(count_by_keys(rewrite(sql, self._view)))
             sums = set(plain_sums(sql))
             wide = [f"decimal(38,{f.dataType.scale})" if i in sums and isinstance(f.dataType, T.DecimalType) else None for i, f in enumerate(df.schema)]
             if not any(wide) or len(set(map(str.lower, df.columns))) < len(df.columns):
