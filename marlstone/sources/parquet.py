@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaMismatch
 
+#: Rows of a block that is put in order by itself, and of a task, about.
+BLOCK_ROWS, TASK_ROWS = 1 << 16, 1 << 20
+
 
 def table_of(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """A file, a folder (with folders in it, key=value ones as text columns), or chosen files below it."""
@@ -133,16 +136,21 @@ def column_constant(df: DataFrame, column: str):
 
 
 def is_sorted(df: DataFrame, column: str) -> bool:
-    """Whether a column never falls in the order of files and rows.
+    """Whether a column never falls in the order of file names and rows.
 
-    Each file is looked at by itself in its row order, then the files' ends in order of their names.
+    Rows are numbered over the files and looked at in blocks of a fixed number, which are dealt to as many
+    tasks as the rows need; then the blocks' ends are compared.
     """
     rows = df.select(F.col(column).alias("v"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    w = Window.partitionBy("f").orderBy("i")
-    per = rows.withColumn("p", F.lag("v").over(w)).groupBy("f").agg(F.max((F.col("v") < F.col("p")).cast("int")).alias("falls"), F.min_by("v", "i").alias("first"), F.max_by("v", "i").alias("last"))
-    last = None
-    for _, falls, first, end in per.orderBy("f").collect():  # a row per file
-        if falls or (last is not None and first is not None and first < last):
-            return False
-        last = end
-    return True
+    starts, at = [], 0
+    for file, last in rows.groupBy("f").agg(F.max("i")).orderBy("f").collect():  # a row per file
+        starts.append((file, at))
+        at += last + 1
+    if not starts:
+        return True
+    numbered = rows.join(F.broadcast(df.sparkSession.createDataFrame(starts, "f string, at bigint")), "f").select("v", (F.col("at") + F.col("i")).alias("i"))
+    dealt = numbered.withColumn("b", F.floor(F.col("i") / BLOCK_ROWS)).repartition(-(-at // TASK_ROWS), "b")
+    per = dealt.withColumn("p", F.lag("v").over(Window.partitionBy("b").orderBy("i"))).groupBy("b").agg(F.max(F.col("v") < F.col("p")).alias("falls"), F.min_by("v", "i").alias("first"), F.max_by("v", "i").alias("last"))
+    # a row per block
+    ends = per.select("falls", (F.col("first") < F.lag("last").over(Window.orderBy("b"))).alias("steps_down"))
+    return ends.agg(F.max(F.greatest("falls", "steps_down"))).first()[0] is not True

@@ -1,8 +1,11 @@
 """Queries whose work must not grow faster than their tables."""
 
+import uuid
+
 import pytest
 
 from marlstone import queries
+from marlstone.sources import is_sorted, parquet
 
 DIR = "/root/testdata/sf0.001"
 
@@ -25,6 +28,24 @@ def made(df, node):
     return found
 
 
+def largest(spark, work):
+    """What work() gives, and the most rows that one of its tasks has read from a shuffle."""
+    group, sc = uuid.uuid4().hex, spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, most = sc._jsc.sc().statusStore(), 0
+    for job in sc.statusTracker().getJobIdsForGroup(group):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 10000)
+            for i in range(tasks.size()):
+                m = tasks.apply(i).taskMetrics()
+                most = max(most, m.get().shuffleReadMetrics().recordsRead() if m.isDefined() else 0)
+    return out, most
+
+
 def test_count_of_pairs_makes_no_pairs(spark):
     part = spark.read.parquet(f"{DIR}/part.parquet")
     df = queries.queries()["join_string_key"](spark, DIR)
@@ -52,3 +73,29 @@ def test_count_of_pairs(spark, engine, sql):
     got, plain = engine.sql(sql), spark.sql(sql)
     assert got.collect() == plain.collect()
     assert got.dtypes == plain.dtypes
+
+
+def test_sortedness_of_a_large_file(spark, tmp_path):
+    n, path = 3 << 20, str(tmp_path / "one.parquet")
+    spark.range(0, n, 1, 1).write.parquet(path)
+    found, most = largest(spark, lambda: is_sorted(spark.read.parquet(path), "id"))
+    assert found and 0 < most < n * 2 / 3
+
+
+@pytest.mark.parametrize(
+    ("files", "want"),
+    [
+        ([[1, 1, 2, 3, 3, 4, 5]], True), ([[1, 2, 3, 4, 3, 5, 6]], False), ([[1, 2, 3, 2, 5, 6, 7, 8]], False), ([[1, 2], [2, 3, 4]], True), ([[1, 2, 3], [2, 3, 4]], False), ([[1, 2, 3, 4], [3, 5]], False),
+        ([[3, None, 1]], True), ([[1, 2, 3, None], [1]], True), ([[None, None]], True), ([[], [2, 3]], True), ([[]], True), ([[1.0, float("nan")], [2.0]], False), ([[1.0, 2.0], [float("nan")]], True),
+    ],
+)
+def test_sortedness(spark, tmp_path, monkeypatch, files, want):
+    kind = "double" if any(isinstance(v, float) for f in files for v in f) else "bigint"
+    for k, f in enumerate(files):
+        spark.createDataFrame([(v,) for v in f], f"v {kind}").coalesce(1).write.parquet(f"{tmp_path}/{k}.parquet")
+    df = spark.read.parquet(*[f"{tmp_path}/{k}.parquet" for k in range(len(files))])
+    assert is_sorted(df, "v") is want
+    for block in (1, 2, 3):
+        monkeypatch.setattr(parquet, "BLOCK_ROWS", block)
+        monkeypatch.setattr(parquet, "TASK_ROWS", 2 * block)
+        assert is_sorted(df, "v") is want
