@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -13,10 +13,12 @@ from .errors import translate
 from .operators import sinks
 from .operators.aggregate import aggregate
 from .operators.joins import JoinRequest, join
+from .operators.ranges import rank_by_ranges, ranks_here, repeatable
 from .operators.scan import Metrics, ScanRequest, scan, scan_metrics
 from .plans import Copy, Explain, PlanReport, Select, parse_statement, report, rewrite, split_statements
 from .plans.counts import count_by_keys
 from .plans.expressions import plain_sums
+from .plans.ranks import ranked
 from .plans.tokens import meaningful, tokenize
 from .sources import Catalog, table_of
 
@@ -67,7 +69,7 @@ class Engine:
             raise TypeError("not a SELECT")
         try:
             self._registered(sql)
-            df = self._analyzed(count_by_keys(rewrite(sql, self._view)))
+            df = self._ranked(sql) or self._analyzed(count_by_keys(rewrite(sql, self._view)))
             sums = set(plain_sums(sql))
             wide = [f"decimal(38,{f.dataType.scale})" if i in sums and isinstance(f.dataType, T.DecimalType) else None for i, f in enumerate(df.schema)]
             if not any(wide) or len(set(map(str.lower, df.columns))) < len(df.columns):
@@ -76,6 +78,37 @@ class Engine:
         except Exception as e:
             raise translate(e) from e
 
+    def _ranked(self, sql: str) -> DataFrame | None:
+        """A plain SELECT with ranks over groups too large for a task each; none for any other text."""
+        r = ranked(sql)
+        if r is None:
+            return None
+        try:
+            df = self._analyzed(rewrite(r.base, self._view))
+        except (AnalysisException, ParseException):  # the text itself is to tell what is wrong
+            return None
+        if not repeatable(df):
+            return None
+        shown, rows, large = df.columns[: -r.hidden], df.count(), False
+        # columns by their places, as names may come twice
+        df = df.toDF(*[c if c in r.names or i >= len(shown) else f"__column{i}" for i, c in enumerate(df.columns)])
+        for o in r.overs:
+            if found := rank_by_ranges(df, rows, o.ranks, o.by, o.order):
+                df, large = found, True
+        if not large:
+            return None
+        for o in r.overs:
+            df = ranks_here(df, {c: k for c, k in o.ranks.items() if df.schema[c].dataType == T.NullType()}, o.by, o.order)
+        df = df.select(*df.columns[: len(shown)]).toDF(*[r.names.get(c, c) for c in shown])
+        if not r.tail.strip():
+            return df
+        view = "ranks_" + uuid.uuid4().hex
+        df.createOrReplaceTempView(view)
+        try:
+            return self._analyzed(rewrite(f"SELECT * FROM {view} {r.tail}"))
+        except (AnalysisException, ParseException):  # ordered by what isn't shown
+            return None
+
     def _analyzed(self, sql: str) -> DataFrame:
         """A query's rows; the analyzer tells which casts to BIGINT are of dates, and these count days."""
         while True:
